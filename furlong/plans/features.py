@@ -264,9 +264,11 @@ def _marks_of(key: str) -> str:
     return "jockey_venue" if key.startswith("jockey.venue") else "jockey_distance"
 
 
-def snapshot_id(key: Column) -> Column:
+def snapshot_id(key: Column, as_of_at: Column, version: Column) -> Column:
     """The natural key of a snapshot as one text."""
-    return F.concat_ws(":", "entry_id", key, "feature_version", F.date_format("as_of_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.concat_ws(
+        ":", F.col("entry_id").cast("string"), key, version.cast("string"), F.date_format(as_of_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    )
 
 
 def to_long(rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:

@@ -21,21 +21,23 @@ STORED_SCORE = "decimal(6,3)"
 _KEY_COLUMNS = [feature.column for feature in registry.ALL]
 
 
-def used_snapshots() -> Column:
-    """Id, feature and instant of every snapshot behind a prediction.
+def used_snapshots(predictions: DataFrame) -> DataFrame:
+    """Id, feature and instant of every snapshot behind a prediction, as an array.
 
-    Empty where the entry had no snapshot at all.
+    All features of an entry are written together, so a prediction only stores
+    which instant and version it used; the list is derived from those. It is
+    empty where the entry had no snapshot.
     """
+    at, version = F.col("snapshot_as_of_at"), F.col("snapshot_version")
     keys = F.array(*[F.lit(feature.key) for feature in registry.ALL])
     listed = F.transform(
         keys,
         lambda key: F.struct(
-            feature_plan.snapshot_id(key).alias("id"), key.alias("feature_key"), F.col("as_of_at").alias("as_of_at")
+            feature_plan.snapshot_id(key, at, version).alias("id"), key.alias("feature_key"), at.alias("as_of_at")
         ),
     )
-    return F.when(F.col("as_of_at").isNotNull(), listed).otherwise(F.array().cast(
-        "array<struct<id:string,feature_key:string,as_of_at:timestamp>>"
-    ))
+    known = F.when(at.isNotNull(), listed).otherwise(F.slice(listed, 1, 0))
+    return predictions.withColumn("feature_snapshot_keys", known)
 
 
 def run_id(config: ScoringConfig, as_of: str | datetime) -> str:
@@ -116,5 +118,6 @@ def generate_predictions(
         F.col("score").cast(STORED_SCORE).alias("prediction_score"),
         "rank_in_race",
         score_detail(configs).alias("score_components"),
-        used_snapshots().alias("feature_snapshot_keys"),
+        F.col("as_of_at").alias("snapshot_as_of_at"),
+        F.col("feature_version").alias("snapshot_version"),
     )

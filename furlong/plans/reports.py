@@ -11,7 +11,6 @@ from furlong.model import HISTORY_PAGE_SIZE, RACE_PAGE_SIZE, Tables
 from furlong.operators.latest import latest_feature_rows, latest_predictions
 from furlong.operators.paging import all_of, page, page_totals
 from furlong.plans.analytics import DEFAULT_LABEL, DEFAULT_REASON, UNKNOWN_KEY
-from furlong.plans.features import to_long
 
 # --- fixed values ------------------------------------------------------------
 SURFACE_FILTERS = {"turf": "芝", "dirt": "ダート"}
@@ -127,9 +126,10 @@ def feature_batch_detail(feature_rows: DataFrame) -> DataFrame:
 
 def feature_key_counts(feature_rows: DataFrame) -> DataFrame:
     """Snapshots per batch and feature key."""
-    long = to_long(feature_rows.withColumn("race_id", F.col("batch_id")))
+    keys = F.explode(F.array(*[F.lit(feature.key) for feature in registry.ALL])).alias("feature_key")
     return (
-        long.groupBy(F.col("race_id").alias("batch_id"), "feature_key")
+        feature_rows.select("batch_id", keys)
+        .groupBy("batch_id", "feature_key")
         .agg(F.count("*").alias("snapshot_count"))
         .orderBy("batch_id", "feature_key")
     )
@@ -229,21 +229,17 @@ def reasons(components: Column, positive: bool, limit: int = REASON_LIMIT) -> Co
 def reason_rows(predictions: DataFrame, limit: int = REASON_LIMIT) -> DataFrame:
     """Reasons as rows: direction, place in its list, key, adjustment, text."""
     components = F.col("score_components.components")
-    listed = predictions.select(
-        "prediction_id",
-        reasons(components, True, limit).alias("positive"),
-        reasons(components, False, limit).alias("negative"),
+    sides = F.array(
+        F.struct(F.lit("positive").alias("direction"), reasons(components, True, limit).alias("listed")),
+        F.struct(F.lit("negative").alias("direction"), reasons(components, False, limit).alias("listed")),
+    )
+    listed = predictions.select("prediction_id", F.explode(sides).alias("side")).select(
+        "prediction_id", "side.direction", F.posexplode("side.listed").alias("nth", "item")
+    )
+    return listed.select(
+        "prediction_id", "direction", (F.col("nth") + 1).alias("place"), F.col("item.key").alias("feature_key"),
+        F.col("item.adjustment").alias("adjustment"), F.col("item.reason").alias("reason"),
     )
-
-    def side(name: str) -> DataFrame:
-        return listed.select(
-            "prediction_id", F.lit(name).alias("direction"), F.posexplode(name).alias("place", "item")
-        ).select(
-            "prediction_id", "direction", (F.col("place") + 1).alias("place"), F.col("item.key").alias("feature_key"),
-            F.col("item.adjustment").alias("adjustment"), F.col("item.reason").alias("reason"),
-        )
-
-    return side("positive").unionByName(side("negative"))
 
 
 def import_batches_page(batches: DataFrame, number: int, mode: str = "all", status: str = "all") -> DataFrame:

@@ -50,6 +50,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def last_state(states: DataFrame) -> DataFrame:
+    """The last state of every run: a finished one where there is one.
+
+    The first column identifies the run.
+    """
+    return first_row(states, states.columns[:1], [F.desc_nulls_last("finished_at"), F.desc("status")])
+
+
 class Store:
     """Current tables, run histories and import errors under one root folder."""
 
@@ -112,8 +120,7 @@ class Store:
         if not fs.exists(path):
             return self.spark.createDataFrame([], HISTORIES[name])
         states = self.spark.read.schema(HISTORIES[name]).parquet(f"{self.root}/{name}")
-        run = states.columns[0]
-        return first_row(states, [run], [F.desc_nulls_last("finished_at"), F.desc("status")])
+        return last_state(states)
 
     def append_errors(self, errors: DataFrame) -> None:
         errors.write.mode("append").parquet(f"{self.root}/import_errors")
