@@ -64,10 +64,6 @@ def round_ties_up(value: Column, digits: int) -> Column:
     return (below + step) / F.lit(factor)
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), value))
-
-
 def rate(part: Column, whole: Column) -> Column:
     """part / whole as a double; null when nothing was counted."""
     return F.when(whole > 0, part.cast("double") / whole.cast("double"))

@@ -13,8 +13,8 @@ from furlong.model import PREDICTION_TYPE, Tables
 from furlong.operators.hotkeys import number_rows
 from furlong.operators.latest import latest_feature_rows
 from furlong.plans import features as feature_plan
+from furlong.plans import scoring
 from furlong.plans.features import instant
-from furlong.plans.scoring import DISCLAIMER, score_columns
 from furlong.sources.scoring_config import ScoringConfig
 
 STORED_SCORE = "decimal(6,3)"
@@ -51,26 +51,31 @@ def scored_rows(features: DataFrame, configs: Sequence[ScoringConfig]) -> DataFr
     The configurations are a handful of constants, so a row is multiplied in
     place and nothing is joined.
     """
-    scores = [
-        F.struct(F.lit(config.model_version).alias("model_version"), score_columns(config)[0].alias("score"))
+    # A row of constants and adjustments per configuration; ``inline`` evaluates
+    # the rules once, and everything after it reads the finished adjustments.
+    versions = [
+        F.struct(
+            F.lit(config.model_version).alias("model_version"),
+            F.lit(config.base).alias("base_score"),
+            F.lit(config.low).alias("low"),
+            F.lit(config.high).alias("high"),
+            scoring.adjustments(config).alias("adjustments"),
+        )
         for config in configs
     ]
-    return features.withColumn("_scored", F.explode(F.array(*scores))).select("*", "_scored.*").drop("_scored")
+    spread = features.select("*", F.inline(F.array(*versions)))
+    total = scoring.score(F.col("base_score"), F.col("low"), F.col("high"), F.col("adjustments"))
+    return spread.withColumn("score", total).drop("low", "high")
 
 
 def score_detail(configs: Sequence[ScoringConfig]) -> Column:
     """Base score, version, components and note of a row from ``scored_rows``."""
-    base, components = None, None
-    for config in configs:
-        mine = F.col("model_version") == config.model_version
-        listed = score_columns(config)[1]
-        base = F.when(mine, F.lit(config.base)) if base is None else base.when(mine, F.lit(config.base))
-        components = F.when(mine, listed) if components is None else components.when(mine, listed)
+    version = F.col("model_version")
     return F.struct(
-        base.alias("base_score"),
-        F.col("model_version"),
-        components.alias("components"),
-        F.lit(DISCLAIMER).alias("disclaimer"),
+        F.col("base_score"),
+        version,
+        scoring.components(configs, version, F.col("adjustments")).alias("components"),
+        F.lit(scoring.DISCLAIMER).alias("disclaimer"),
     )
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from furlong import registry
-from furlong.functions.scalars import clamp, round_ties_up
-from furlong.sources.scoring_config import ScoringConfig
+from furlong.functions.scalars import round_ties_up
+from furlong.sources.scoring_config import ConfigError, ScoringConfig
 
 # --- fixed values: labels and reasons, in the order of the components --------
 LABELS = {
@@ -43,11 +43,6 @@ BOOLEAN_KEYS = ("horse.has_past_race", "horse.is_after_layoff_8w")
 INTERVAL_KEY = "horse.days_since_last_race"
 BEST_TIME_KEY = "horse.best_time_same_surface_distance"
 
-COMPONENT = (
-    "struct<key:string,label:string,value_number:double,value_boolean:boolean,"
-    "adjustment:double,reason:string>"
-)
-
 Read = Callable[[str], Column]
 
 
@@ -58,84 +53,102 @@ def wide_column(key: str) -> Column:
     return column.cast("double") if feature.is_number else column
 
 
-def _component(key: str, label: str, value: Column, adjustment: Column, reason: Column, truth: bool = False) -> Column:
-    return F.struct(
-        F.lit(key).alias("key"),
-        F.lit(label).alias("label"),
-        (F.lit(None).cast("double") if truth else value).alias("value_number"),
-        (value if truth else F.lit(None).cast("boolean")).alias("value_boolean"),
-        adjustment.alias("adjustment"),
-        reason.alias("reason"),
-    )
-
-
 def _number(value: Any) -> Column:
     return F.lit(float(value))
 
 
-def _boolean(key: str, label: str, value: Column, rule: Mapping[str, Any]) -> tuple[Column, Column]:
-    adjustment = F.when(value == F.lit(rule["positiveValue"]), _number(rule["positiveAdjustment"])).otherwise(
-        _number(rule["negativeAdjustment"])
-    )
-    reason = F.when(adjustment >= 0, label + RAISED).otherwise(label + LOWERED)
-    return F.when(value.isNotNull(), adjustment), _component(key, label, value, adjustment, reason, truth=True)
-
+def _boolean(value: Column, rule: Mapping[str, Any]) -> Column:
+    chosen = F.when(value == F.lit(rule["positiveValue"]), _number(rule["positiveAdjustment"]))
+    return F.when(value.isNotNull(), chosen.otherwise(_number(rule["negativeAdjustment"])))
 
-def _interval(key: str, label: str, value: Column, rule: Mapping[str, Any]) -> tuple[Column, Column]:
-    def chosen(short, layoff, good, standard) -> Column:
-        return (
-            F.when(value < rule["shortThresholdDays"], short)
-            .when(value >= rule["layoffThresholdDays"], layoff)
-            .when(value <= rule["goodMaxDays"], good)
-            .otherwise(standard)
-        )
 
-    adjustment = chosen(
-        *[_number(rule[f"{name}Adjustment"]) for name in ("short", "layoff", "good", "standard")]
+def _by_interval(value: Column, rule: Mapping[str, Any], short, layoff, good, standard) -> Column:
+    return (
+        F.when(value.isNull(), None)
+        .when(value < rule["shortThresholdDays"], short)
+        .when(value >= rule["layoffThresholdDays"], layoff)
+        .when(value <= rule["goodMaxDays"], good)
+        .otherwise(standard)
     )
-    reason = chosen(*map(F.lit, (INTERVAL_SHORT, INTERVAL_LAYOFF, INTERVAL_GOOD, INTERVAL_STANDARD)))
-    return F.when(value.isNotNull(), adjustment), _component(key, label, value, adjustment, reason)
 
 
-def _rate(key: str, label: str, value: Column, rule: Mapping[str, Any]) -> tuple[Column, Column]:
+def _interval(value: Column, rule: Mapping[str, Any]) -> Column:
+    names = ("short", "layoff", "good", "standard")
+    return _by_interval(value, rule, *[_number(rule[f"{name}Adjustment"]) for name in names])
+
+
+def _rate(value: Column, rule: Mapping[str, Any]) -> Column:
     centred = (value - _number(rule["baseline"])) * _number(rule["maxAdjustment"])
-    adjustment = F.nullif(round_ties_up(centred, 3), F.lit(0.0))
-    reason = F.when(adjustment > 0, label + ABOVE_BASELINE).otherwise(label + BELOW_BASELINE)
-    return adjustment, _component(key, label, value, adjustment, reason)
+    # Only here a zero is as good as no component.
+    return F.nullif(round_ties_up(centred, 3), F.lit(0.0))
 
 
-def _best_time(label: str, read: Read, rule: Mapping[str, Any]) -> tuple[Column, Column]:
-    value, count = read(rule["featureKey"]), read(rule["countFeatureKey"])
+def _best_time(value: Column, count: Column, rule: Mapping[str, Any]) -> Column:
     from_count = F.least(
         F.lit(1.0), F.greatest(_number(rule["minConfidence"]), count / _number(rule["fullConfidenceCount"]))
     )
     confidence = F.when(count.isNotNull(), from_count).otherwise(_number(rule["defaultConfidence"]))
-    adjustment = round_ties_up(_number(rule["baseAdjustment"]) * confidence, 3)
-    component = _component(rule["featureKey"], label, value, adjustment, F.lit(TIMED))
-    return F.when(value.isNotNull(), adjustment), component
-
+    return F.when(value.isNotNull(), round_ties_up(_number(rule["baseAdjustment"]) * confidence, 3))
 
-def score_columns(config: ScoringConfig, read: Read = wide_column) -> tuple[Column, Column]:
-    """(score, components) of one configuration.
 
-    A component that does not apply is null in its slot, adds nothing to the sum
-    and is left out of the list. Adjustments are added in component order.
-    """
-    adjustments: list[Column] = []
-    components: list[Column] = []
-    for key, label in LABELS.items():
+def adjustments(config: ScoringConfig, read: Read = wide_column) -> Column:
+    """The adjustment of every component in order, null where one does not apply."""
+    found = []
+    for key in LABELS:
         if key in BOOLEAN_KEYS:
-            adjustment, component = _boolean(key, label, read(key), config.parameters(key, "boolean"))
+            found.append(_boolean(read(key), config.parameters(key, "boolean")))
         elif key == INTERVAL_KEY:
-            adjustment, component = _interval(key, label, read(key), config.parameters(key, "interval_days"))
+            found.append(_interval(read(key), config.parameters(key, "interval_days")))
         elif key == BEST_TIME_KEY:
-            adjustment, component = _best_time(label, read, config.parameters(key, "best_time"))
+            rule = config.parameters(key, "best_time")
+            found.append(_best_time(read(rule["featureKey"]), read(rule["countFeatureKey"]), rule))
         else:
-            adjustment, component = _rate(key, label, read(key), config.parameters(key, "rate"))
-        adjustments.append(adjustment)
-        components.append(F.when(adjustment.isNotNull(), component))
+            found.append(_rate(read(key), config.parameters(key, "rate")))
+    return F.array(*found)
+
+
+def score(base: Column, low: Column, high: Column, adjusted: Column) -> Column:
+    """Base plus all adjustments in order, rounded and kept in range."""
     total = F.lit(0.0)
-    for adjustment in adjustments:
-        total = total + F.coalesce(adjustment, F.lit(0.0))
-    score = clamp(round_ties_up(F.lit(config.base) + total, 3), config.low, config.high)
-    return score, F.array_compact(F.array(*components))
+    for nth in range(len(LABELS)):
+        total = total + F.coalesce(adjusted[nth], F.lit(0.0))
+    return F.least(high, F.greatest(low, round_ties_up(base + total, 3)))
+
+
+def components(configs: Sequence[ScoringConfig], version: Column, adjusted: Column, read: Read = wide_column) -> Column:
+    """The components that apply, with value, adjustment and reason."""
+    listed = []
+    for nth, (key, label) in enumerate(LABELS.items()):
+        adjustment = adjusted[nth]
+        shown, truth = key, F.lit(None).cast("boolean")
+        if key in BOOLEAN_KEYS:
+            value, truth = F.lit(None).cast("double"), read(key)
+            reason = F.when(adjustment >= 0, label + RAISED).otherwise(label + LOWERED)
+        elif key == INTERVAL_KEY:
+            value = read(key)
+            texts = [F.lit(t) for t in (INTERVAL_SHORT, INTERVAL_LAYOFF, INTERVAL_GOOD, INTERVAL_STANDARD)]
+            reason = F.coalesce(
+                *[
+                    F.when(version == c.model_version, _by_interval(value, c.parameters(key, "interval_days"), *texts))
+                    for c in configs
+                ]
+            )
+        elif key == BEST_TIME_KEY:
+            rules = {c.model_version: c.parameters(key, "best_time")["featureKey"] for c in configs}
+            if len(set(rules.values())) > 1:
+                raise ConfigError(f"{key}: the configurations name different features")
+            shown = next(iter(rules.values()))
+            value, reason = read(shown), F.lit(TIMED)
+        else:
+            value = read(key)
+            reason = F.when(adjustment > 0, label + ABOVE_BASELINE).otherwise(label + BELOW_BASELINE)
+        item = F.struct(
+            F.lit(shown).alias("key"),
+            F.lit(label).alias("label"),
+            value.alias("value_number"),
+            truth.alias("value_boolean"),
+            adjustment.alias("adjustment"),
+            reason.alias("reason"),
+        )
+        listed.append(F.when(adjustment.isNotNull(), item))
+    return F.array_compact(F.array(*listed))

@@ -25,6 +25,7 @@ INSTANTS = (EARLY, LATE)
 CONFIGS = tuple(BUILT_IN.values())
 
 _written: dict[tuple[str, str, str], str] = {}
+_tables: dict[tuple[str, str], Tables] = {}
 
 
 def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -41,13 +42,16 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
 
 def tables(spark: SparkSession, folder: str) -> Tables:
     """The racing tables; races, entries and results as stored tables."""
-    derived = star_schema.load(spark, folder)
-    return replace(
-        derived,
-        races=stage(spark, folder, "races", lambda: derived.races),
-        entries=stage(spark, folder, "entries", lambda: derived.entries),
-        results=stage(spark, folder, "results", lambda: derived.results),
-    )
+    known = (spark.sparkContext.applicationId, folder)
+    if known not in _tables:
+        derived = star_schema.load(spark, folder)
+        _tables[known] = replace(
+            derived,
+            races=stage(spark, folder, "races", lambda: derived.races),
+            entries=stage(spark, folder, "entries", lambda: derived.entries),
+            results=stage(spark, folder, "results", lambda: derived.results),
+        )
+    return _tables[known]
 
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
