@@ -536,8 +536,7 @@ def report_labels(spark, folder):
 
 
 def _valid(spark, folder) -> dict[str, DataFrame]:
-    texts = bundle.texts(stages.tables(spark, folder))
-    return {table: ingest.valid_rows(ingest.validate(texts[table], table)) for table in BUNDLE}
+    return {table: ingest.valid_rows(rows) for table, rows in bundle.validated(spark, folder).items()}
 
 
 @query
@@ -565,9 +564,11 @@ def provider_infer(spark, folder):
 
 @query
 def import_summary(spark, folder):
-    texts = bundle.texts(stages.tables(spark, folder), faulty_races=True)
-    valid = {table: ingest.valid_rows(ingest.validate(texts[table], table)) for table in BUNDLE}
-    return ingest.summary(texts, valid, written=True).drop("nth")
+    read = bundle.validated(spark, folder)
+    faulty = ingest.validate(bundle.race_texts(stages.tables(spark, folder)), "races")
+    read = {**read, "races": stages.stage(spark, folder, "validated_faulty_races", lambda: faulty)}
+    valid = {table: ingest.valid_rows(rows) for table, rows in read.items()}
+    return ingest.summary(read, valid, written=True).drop("nth")
 
 
 # --- merges ------------------------------------------------------------------
