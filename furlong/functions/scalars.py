@@ -23,16 +23,19 @@ EVALUATION_PARTIAL = "一部評価済み"
 EVALUATION_COMPLETE = "評価済み"
 # -----------------------------------------------------------------------------
 
-# Everything ECMAScript calls white space or a line end; Spark's trim removes
-# only the ASCII space.
-_BLANK = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+# White space and line ends of ECMAScript; Spark's trim takes only the ASCII
+# space unless it is given the characters.
+_BLANKS = (
+    "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 LAYOFF_DAYS = 56
 
 
 def clean(text: Column) -> Column:
     """Strip Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def blank_to_null(text: Column) -> Column:

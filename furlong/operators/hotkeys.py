@@ -10,6 +10,7 @@ so the bulk of the data pays nothing but one comparison.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,23 +37,12 @@ def hot_keys(rows: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> DataFram
 def find_hot(rows: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
     """Hot-key frames for those columns that have a hot key at all.
 
-    One counting job over the key columns decides; what reaches the driver is at
-    most one name per column. Plans for data without hot keys stay plain windows.
+    One counting job decides, reading only the key columns and combining in the
+    map tasks; what reaches the driver is at most one name per column. Plans for
+    data without hot keys stay plain windows.
     """
-    pairs = rows.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("key")) for c in columns])
-        ).alias("pair")
-    )
-    crowded = (
-        pairs.filter("pair.key is not null")
-        .groupBy("pair.name", "pair.key")
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select("name")
-        .distinct()
-    )
-    names = {row["name"] for row in crowded.collect()}
+    crowded = [hot_keys(rows, c, hot_rows).limit(1).select(F.lit(c).alias("name")) for c in columns]
+    names = {row["name"] for row in reduce(DataFrame.unionByName, crowded).collect()}
     return {c: hot_keys(rows, c, hot_rows) for c in columns if c in names}
 
 

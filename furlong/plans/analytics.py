@@ -18,9 +18,6 @@ DEFAULT_LABEL = "特徴量"
 DEFAULT_REASON = "スコアに影響しました"
 # -----------------------------------------------------------------------------
 
-# Adjustments have three decimals; sums of them are kept exact.
-_EXACT = "decimal(9,3)"
-
 RAW_COMPONENT = "array<struct<key:string,label:string,adjustment:string,reason:string>>"
 
 
@@ -171,44 +168,53 @@ def parse_components(json: Column) -> Column:
     return F.coalesce(finite, F.array().cast("array<struct<key:string,label:string,adjustment:double,reason:string>>"))
 
 
-def _counted_components(base: DataFrame) -> DataFrame:
-    """One row per component that changed a score."""
+def _component_sums(base: DataFrame) -> DataFrame:
+    """Counts and sums per version, key and label of the components that changed a score.
+
+    Fixed-width sums in thousandths: the aggregation hashes in place, its map
+    side leaves a few rows per task, and the order of adding does not matter.
+    """
+    item = F.explode("score_components.components").alias("item")
+    rows = base.select("model_version", item).select(
+        "model_version",
+        F.coalesce("item.key", F.lit(UNKNOWN_KEY)).alias("feature_key"),
+        F.coalesce("item.label", F.lit(DEFAULT_LABEL)).alias("label"),
+        F.col("item.adjustment").alias("adjustment"),
+    )
+    finite = ~F.isnan("adjustment") & (F.abs("adjustment") != float("inf"))
     return (
-        base.select("model_version", F.explode("score_components.components").alias("item"))
-        .select(
-            "model_version",
-            F.coalesce("item.key", F.lit(UNKNOWN_KEY)).alias("feature_key"),
-            F.coalesce("item.label", F.lit(DEFAULT_LABEL)).alias("label"),
-            F.col("item.adjustment").cast(_EXACT).alias("adjustment"),
+        rows.filter((F.col("adjustment") != 0) & finite)
+        .groupBy("model_version", "feature_key", "label")
+        .agg(
+            F.count("*").alias("count"),
+            F.count_if(F.col("adjustment") > 0).alias("positive_count"),
+            F.count_if(F.col("adjustment") < 0).alias("negative_count"),
+            F.sum(F.rint(F.col("adjustment") * 1000).cast("long")).alias("thousandths"),
         )
-        .filter(F.col("adjustment").isNotNull() & (F.col("adjustment") != 0))
     )
 
 
 def _contribution(label: Column) -> list[Column]:
-    mean = F.sum("adjustment").cast("double") / F.count("*")
+    mean = F.sum("thousandths") / F.lit(1000.0) / F.sum("count")
     return [
         label.alias("label"),
-        F.count("*").alias("count"),
-        F.count_if(F.col("adjustment") > 0).alias("positive_count"),
-        F.count_if(F.col("adjustment") < 0).alias("negative_count"),
+        *[F.sum(c).alias(c) for c in ("count", "positive_count", "negative_count")],
         round_ties_up(mean, 4).alias("average_adjustment"),
     ]
 
 
 def feature_contribution(base: DataFrame) -> DataFrame:
     """Counts and mean adjustment per component key, largest effect first."""
-    label = F.min_by("label", "model_version")
     return (
-        _counted_components(base)
+        _component_sums(base)
         .groupBy("feature_key")
-        .agg(*_contribution(label))
+        .agg(*_contribution(F.min_by("label", F.struct("model_version", "label"))))
         .orderBy(F.abs(F.col("average_adjustment")).desc(), "feature_key")
     )
 
 
 def contribution_by_version(base: DataFrame) -> DataFrame:
-    return _counted_components(base).groupBy("model_version", "feature_key").agg(*_contribution(F.min("label")))
+    return _component_sums(base).groupBy("model_version", "feature_key").agg(*_contribution(F.min("label")))
 
 
 def contribution_difference(base: DataFrame) -> DataFrame:

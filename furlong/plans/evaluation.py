@@ -61,33 +61,55 @@ def _first_three(rows: DataFrame) -> DataFrame:
 
 def _winners(rows: DataFrame) -> DataFrame:
     """Per (run, race) the first row with position 1; in a dead heat the best ranked."""
-    first = F.min_by(
-        "entry_id",
-        F.struct(
-            F.col("predicted_rank").isNull(), F.coalesce(F.col("predicted_rank"), F.lit(UNRANKED)), F.col("prediction_id")
-        ),
-    )
+    first = F.min_by("entry_id", _input_order())
     return rows.filter(F.col("finish_position") == 1).groupBy(*RACE).agg(first.alias("winner_entry_id"))
 
 
-def evaluate(rows: DataFrame) -> DataFrame:
-    """Evaluation rows of ``predictions_with_results``."""
+def _input_order() -> Column:
+    """Rows as they are listed: by rank, unranked ones last."""
+    return F.struct(
+        F.col("predicted_rank").isNull(), F.coalesce(F.col("predicted_rank"), F.lit(UNRANKED)), F.col("prediction_id")
+    )
+
+
+def _with_race_facts(rows: DataFrame) -> DataFrame:
+    """Top pick and winner of the race on every row; one shuffle by (run, race)."""
+    race = Window.partitionBy(*RACE)
+    placed = rows.withColumn("place", F.row_number().over(race.orderBy(*_order())))
+    pick = F.when(F.col("place") == 1, F.struct("entry_id", "finish_position"))
+    winner = F.when(
+        F.col("finish_position") == 1, F.struct(_input_order().alias("at"), F.col("place"), F.col("entry_id"))
+    )
+    return placed.withColumns({"pick": F.max(pick).over(race), "winner": F.min(winner).over(race)}).select(
+        *rows.columns,
+        F.col("pick.entry_id").alias("top_entry_id"),
+        F.col("pick.finish_position").alias("top_prediction_finish_position"),
+        F.col("winner.entry_id").alias("winner_entry_id"),
+        F.coalesce(F.col("winner.place") <= 3, F.lit(False)).alias("actual_winner_in_predicted_top3"),
+    )
+
+
+def _with_joined_race_facts(rows: DataFrame) -> DataFrame:
+    """The same for races of any size: facts are aggregated with map-side combine
+    and joined back, where a crowded race is split by the adaptive skew join."""
+    picked = [F.coalesce(F.col("winner_entry_id") == F.col(f"pick_{n}"), F.lit(False)) for n in (1, 2, 3)]
     race = (
         _first_three(rows)
         .join(_winners(rows), list(RACE), "left")
-        .withColumn(
-            "actual_winner_in_predicted_top3",
-            F.coalesce(
-                (F.col("winner_entry_id") == F.col("pick_1"))
-                | F.coalesce(F.col("winner_entry_id") == F.col("pick_2"), F.lit(False))
-                | F.coalesce(F.col("winner_entry_id") == F.col("pick_3"), F.lit(False)),
-                F.lit(False),
-            ),
-        )
+        .withColumn("actual_winner_in_predicted_top3", picked[0] | picked[1] | picked[2])
         .drop("pick_1", "pick_2", "pick_3")
     )
+    return rows.join(race, list(RACE))
+
+
+def evaluate(rows: DataFrame, crowded_races: bool = False) -> DataFrame:
+    """Evaluation rows of ``predictions_with_results``.
+
+    ``crowded_races`` says that some race has too many entries for one task.
+    """
+    known = _with_joined_race_facts(rows) if crowded_races else _with_race_facts(rows)
     position = F.col("finish_position")
-    return rows.join(race, list(RACE)).select(
+    return known.select(
         "prediction_id",
         *RACE,
         "entry_id",

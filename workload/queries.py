@@ -316,7 +316,7 @@ def _evaluation_input(spark, folder) -> DataFrame:
 
 @query
 def evaluations(spark, folder):
-    return evaluation.evaluate(_evaluation_input(spark, folder))
+    return evaluation.evaluate(_evaluation_input(spark, folder), "race_id" in stages.tables(spark, folder).hot)
 
 
 @query

@@ -78,13 +78,14 @@ def prediction_rows(spark: SparkSession, folder: str) -> DataFrame:
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """The run of every (version, instant). The last version's early run counts as failed."""
     failed = (F.col("model_version") == CONFIGS[-1].model_version) & (F.col("as_of_at") == F.lit(EARLY).cast("timestamp"))
-    return (
+    counted = (
         prediction_rows(spark, folder)
         .groupBy("run_id", "prediction_type", "model_version", "as_of_at")
         .agg(F.count("*").alias("total_count"))
         .withColumn("status", F.when(failed, "failed").otherwise("succeeded"))
         .withColumn("started_at", F.col("as_of_at"))
     )
+    return stage(spark, folder, "runs", lambda: counted)
 
 
 def evaluation_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,6 +95,6 @@ def evaluation_rows(spark: SparkSession, folder: str) -> DataFrame:
         rows = evaluation.predictions_with_results(
             prediction_rows(spark, folder), runs(spark, folder), tables(spark, folder).results
         )
-        return evaluation.evaluate(rows)
+        return evaluation.evaluate(rows, "race_id" in tables(spark, folder).hot)
 
     return stage(spark, folder, "evaluations", build)
