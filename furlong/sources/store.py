@@ -86,13 +86,24 @@ class Store:
             return self.spark.createDataFrame([], schema or SCHEMAS[name])
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
+    def prepare(self, tables: Mapping[str, DataFrame]) -> dict[str, str]:
+        """Write new versions that nobody reads yet."""
+        folders = {}
+        for name, rows in tables.items():
+            folders[name] = f"{name}/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.root}/{folders[name]}")
+        return folders
+
+    def prepared(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{folder}")
+
     def replace(self, tables: Mapping[str, DataFrame]) -> None:
         """Write new versions of all given tables, then switch to them together."""
-        folders = self._folders()
-        for name, rows in tables.items():
-            folder = f"{name}/{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.root}/{folder}")
-            folders[name] = folder
+        self.switch(self.prepare(tables))
+
+    def switch(self, prepared: Mapping[str, str]) -> None:
+        """Make prepared versions the current ones, all at once."""
+        folders = {**self._folders(), **prepared}
         fresh, fs = self._file(f"{_POINTER}.{uuid.uuid4().hex}")
         stream = fs.create(fresh)
         stream.write(bytearray(json.dumps(folders).encode("utf-8")))

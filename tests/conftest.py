@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from furlong.session import local_session
 
-    session = local_session("4", shuffle_partitions=4, memory="4g")
+    session = local_session("8", shuffle_partitions=4, memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
