@@ -187,23 +187,38 @@ def bundle(tmp_path, name, **replaced):
 
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
-    return Store(spark, str(tmp_path_factory.mktemp("store")))
+    """A store, under settings that keep the planning of many tiny jobs short."""
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"}
+    saved = {key: spark.conf.get(key) for key in quick}
+    for key, value in quick.items():
+        spark.conf.set(key, value)
+    yield Store(spark, str(tmp_path_factory.mktemp("store")))
+    for key, value in saved.items():
+        spark.conf.set(key, value)
 
 
 def ids(store, table, column):
     return sorted(r[column] for r in store.table(table).select(column).collect())
 
 
-def test_import_twice_then_pipeline(spark, store, tmp_path):
+def test_imports_then_pipeline(spark, store, tmp_path):
     folder = bundle(tmp_path, "good")
     dry = jobs.import_bundle(store, folder, NOW, dry_run=True)
     assert (dry["read"], dry["valid"], dry["inserted"]) == (14, 14, 0) and not store.has("races")
     first = jobs.import_bundle(store, folder, NOW, batch_id="b1")
     assert (first["inserted"], first["updated"]) == (14, 0)
-    before = {t: sorted(map(str, store.table(t).collect())) for t in ("races", "entries", "results")}
-    second = jobs.import_bundle(store, folder, NOW, batch_id="b2")
+    kept = {t: ids(store, t, c) for t, c in (("races", "race_id"), ("entries", "entry_id"), ("results", "result_id"))}
+    before = {t: sorted(map(str, store.table(t).collect())) for t in ("entries", "results")}
+
+    # The same races under other source ids: natural keys match, stored ids stay, children follow them.
+    races = [line.replace(",p,R", ",p,Q").replace("Race", "New") for line in FILES["races"][1]]
+    entries = [line.replace(",R", ",Q") for line in FILES["race_entries"][1]]
+    second = jobs.import_bundle(store, bundle(tmp_path, "renamed", races=races, race_entries=entries), NOW, batch_id="b2")
     assert (second["inserted"], second["updated"]) == (0, 14)
+    assert kept == {t: ids(store, t, c) for t, c in (("races", "race_id"), ("entries", "entry_id"), ("results", "result_id"))}
     assert before == {t: sorted(map(str, store.table(t).collect())) for t in before}
+    assert {r["name"] for r in store.table("races").collect()} == {"New 1", "New 20"}
+
     batches = {r["batch_id"]: r for r in store.history("import_batches").collect()}
     assert batches["b1"]["status"] == "succeeded" and batches["b1"]["provider_code"] == "p"
     assert [s["upserted"] for s in batches["b1"]["summary"]] == [2, 2, 1, 1, 4, 4]
@@ -226,18 +241,6 @@ def test_import_twice_then_pipeline(spark, store, tmp_path):
     assert {r["status"] for r in store.history("prediction_runs").collect()} == {"succeeded"}
 
 
-def test_natural_key_keeps_the_id_and_children_follow(spark, store, tmp_path):
-    kept, entry_ids = ids(store, "races", "race_id"), ids(store, "entries", "entry_id")
-    header, lines = FILES["races"]
-    renamed = [line.replace(",p,R", ",p,Q").replace("Race", "New") for line in lines]
-    entries = [line.replace(",R", ",Q") for line in FILES["race_entries"][1]]
-    jobs.import_bundle(store, bundle(tmp_path, "renamed", races=renamed, race_entries=entries), NOW)
-    assert ids(store, "races", "race_id") == kept
-    assert ids(store, "entries", "entry_id") == entry_ids
-    assert {r["name"] for r in store.table("races").collect()} == {"New 1", "New 20"}
-    assert {r["race_id"] for r in store.table("entries").collect()} == set(kept)
-
-
 def test_errors_reject_everything(spark, store, tmp_path):
     before = sorted(map(str, store.table("races").collect()))
     races = [FILES["races"][1][0].replace("confirmed", "odd"), FILES["races"][1][1]]
