@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furlong import registry
 from furlong.functions import scalars
+from furlong.model import MERGE_KEYS
 from furlong.operators import latest, merge
 from furlong.plans import analytics, evaluation, features, ingest, predictions, reports
 from furlong.session import use_utc
@@ -638,15 +639,16 @@ def insert_ignore(spark, folder):
 
 @query
 def upsert_snapshots(spark, folder):
-    """The later generation repeated with other values over both stored ones."""
-    key = ["feature_key", "feature_version", "entry_id", "as_of_at"]
-    columns = [*key, "value_number", "value_boolean"]
+    """The later generation repeated with other values over both stored ones.
+
+    Generations are merged as wide rows, as the feature job does.
+    """
     stored = stages.feature_rows(spark, folder)
-    old = features.to_long(stored).select(*columns)
-    again = features.to_long(_late_features(spark, folder)).select(*columns).withColumn(
-        "value_number", (F.col("value_number") + 1).cast("decimal(18,6)")
-    )
-    merged = merge.merge(old, again, key)
+    changed = {
+        f.column: (F.col(f.column) + 1).cast(stored.schema[f.column].dataType) for f in registry.ALL if f.is_number
+    }
+    again = _late_features(spark, folder).withColumns(changed)
+    merged = features.to_long(merge.merge(stored, again, MERGE_KEYS["feature_rows"]))
     return merged.groupBy("feature_key", "as_of_at").agg(
         F.count("*").alias("snapshots"), F.sum("value_number").alias("value_sum")
     )
