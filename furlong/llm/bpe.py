@@ -6,7 +6,8 @@ every prefix is determined by the prefix, and a left-to-right machine can find
 it. Its state is the last token written and the bytes read since. A token is
 written as soon as all boundaries that a later byte can still extend agree on
 it, so the delay is at most the longest token. States and moves are made when
-they are first needed and kept in a bounded table.
+they are needed again and kept in a bounded table; before that the boundaries
+are followed one by one.
 
 Texts are cut by the pattern first; a piece that is a token is that token.
 Decoding goes token by token through a UTF-8 state machine that holds back an
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from furlong.llm.common import Bounded, map_batches
 
 # Entries kept by the tables of a worker; they start anew when full.
-PIECES = 200_000
-MOVES = 400_000
+PIECES = 400_000
+MOVES = 150_000
+PAIRS = 150_000
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,27 +46,53 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.text = {rank: token for token, rank in ranks.items()}
         self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.reachable = Bounded(lambda token: self.merged(token) == [token], MOVES)
-        self.fits = Bounded(lambda pair: self.merged(pair[0] + pair[1]) == [pair[0], pair[1]], MOVES)
+        self.edges = Bounded(self._edges, len(ranks) + 1)
+        self.fits = Bounded(self._fits, PAIRS)
         self._forget()
 
-    def merged(self, raw: bytes) -> list[bytes]:
-        """The merges themselves, lowest rank first, leftmost first; only for short strings."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
+    def _edges(self, token: bytes) -> tuple[bool, list, list]:
+        """Whether the merges give the token, and what stands at its left and right edge until which merge."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        left, right = [], []
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
+            if at == 0:
+                left.append((parts[0], rank))
+            if at == len(parts) - 2:
+                right.append((parts[-1], rank))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return len(parts) == 1, [*left, (parts[0], NEVER)], [*right, (parts[-1], NEVER)]
+
+    def _fits(self, pair: tuple[bytes, bytes]) -> bool:
+        """Whether the merges leave the boundary between two tokens.
+
+        The tokens are built side by side. While two edges face each other, the
+        merge of both must not come before the merge that ends one of them; of
+        equal merges the left one comes first.
+        """
+        ends, begins = self.edges[pair[0]][2], self.edges[pair[1]][1]
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = ends[i], begins[j]
+            rank = self.ranks.get(x + y, NEVER)
+            if rank != NEVER and rank < x_until and rank <= y_until:
+                return False
+            if x_until == y_until == NEVER:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
 
     def _forget(self) -> None:
         # State 0: nothing read. A state: last token written, bytes since, and the tokens up to each live boundary.
         self.states: list[tuple[bytes, bytes, dict[int, tuple[bytes, ...]]]] = [(b"", b"", {0: ()})]
         self.numbers = {(b"", b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.met: set[int] = set()
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, seen, live = self.states[state]
@@ -70,7 +100,7 @@ class Transducer:
         end = len(seen)
         for start, before in live.items():
             token = seen[start:]
-            if token in self.ranks and self.reachable[token]:
+            if token in self.ranks and self.edges[token][0]:
                 left = before[-1] if before else last
                 if not left or self.fits[left, token]:
                     live = live | {end: (*before, token)}
@@ -92,22 +122,49 @@ class Transducer:
         move = self.moves[state << 8 | byte] = number, tuple(self.ranks[token] for token in out)
         return move
 
-    def run(self, raw: bytes) -> Iterator[int]:
-        """The ids of a piece, each as soon as it is certain."""
+    def _rest(self, state: int, rest: bytes) -> list[int]:
+        """The ids to the end of the piece, without making states: all live boundaries are followed at once."""
+        last, seen, live = self.states[state]
+        raw, paths = seen + rest, list(live.items())
+        ranks, openings, fits, edges = self.ranks, self.openings, self.fits, self.edges
+        for end in range(len(seen) + 1, len(raw) + 1):
+            following, found = [], None
+            for path in paths:
+                token = raw[path[0] : end]
+                if found is None and token in ranks and edges[token][0]:
+                    left = path[1][-1] if path[1] else last
+                    if not left or fits[left, token]:
+                        found = end, (*path[1], token)
+                if token in openings:
+                    following.append(path)
+            if found:
+                following.append(found)
+            paths = following
+        return [ranks[token] for token in paths[-1][1]]
+
+    def run(self, raw: bytes) -> list[int]:
+        """The ids of a piece; each is written as soon as it is certain.
+
+        A move that is met for the second time is entered into the table.
+        """
         if raw in self.ranks:
-            yield self.ranks[raw]
-            return
-        if len(self.moves) > MOVES:
+            return [self.ranks[raw]]
+        if len(self.moves) > MOVES or len(self.met) > 4 * MOVES:
             self._forget()
-        state, moves = 0, self.moves
-        for byte in raw:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
+        state, moves, out = 0, self.moves, []
+        for at, byte in enumerate(raw):
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                if key not in self.met:
+                    self.met.add(key)
+                    return out + self._rest(state, raw[at:])
+                move = self._move(state, byte)
             state = move[0]
             if move[1]:
-                yield from move[1]
+                out += move[1]
         _, seen, live = self.states[state]
-        for token in live[len(seen)]:
-            yield self.ranks[token]
+        return out + [self.ranks[token] for token in live[len(seen)]]
 
 
 class Utf8:
@@ -155,7 +212,8 @@ def tokenizer(path: str, pattern: str):
     transducer = Transducer(read_ranks(path))
 
     def ids(piece: str) -> bytes:
-        return np.fromiter(transducer.run(piece.encode()), "<u4").tobytes()
+        found = transducer.run(piece.encode())
+        return struct.pack(f"<{len(found)}I", *found)
 
     return transducer, Bounded(ids, PIECES), regex.compile(pattern)
 
@@ -166,8 +224,13 @@ def encode_text(text: str | None, path: str, pattern: str) -> bytes:
     return b"".join(map(pieces.__getitem__, cut.findall(text or "")))
 
 
-def decode_ids(ids: bytes, path: str, pattern: str, step: int = 1 << 16) -> str:
-    text, machine = tokenizer(path, pattern)[0].text, Utf8()
+@functools.cache
+def token_texts(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def decode_ids(ids: bytes, path: str, step: int = 1 << 16) -> str:
+    text, machine = token_texts(path), Utf8()
     numbers = np.frombuffer(ids, "<u4")
     out = [machine.feed(b"".join(map(text.__getitem__, numbers[at : at + step].tolist()))) for at in range(0, len(numbers), step)]
     return "".join([*out, machine.close()])
@@ -184,12 +247,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and the ``text`` they stand for."""
 
     def step(batches):
         for batch in batches:
-            texts = [decode_ids(ids or b"", path, pattern) for ids in batch.column(1).to_pylist()]
+            texts = [decode_ids(ids or b"", path) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), step, "doc_id long, ids binary, text string")
