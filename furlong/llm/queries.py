@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import bpe, chat, quality, topk
+from furlong.llm import bpe, chat, language, mixing, near_dedup, quality, topk, toxicity
 from furlong.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +36,31 @@ def op2_chat_format(spark, folder):
     return chat.read_back(chat.format_turns(turns.unionByName(added)))
 
 
+def crc(remainder: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainder
+
+
+@query
+def op3_language_id(spark, folder):
+    docs = read(spark, folder, "documents")
+    held_out = F.coalesce(crc(5) == 0, F.lit(True))
+    predicted = language.identify(docs, ~held_out)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_near_dedup(spark, folder):
+    return near_dedup.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op6_source_mixing(spark, folder):
+    mixed = mixing.mix(read(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -51,6 +74,16 @@ def op8_byte_bpe(spark, folder):
     return digests(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op9_toxicity(spark, folder):
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    held_out = F.coalesce(crc(4) == 2, F.lit(True))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, ~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op10_exact_top_k(spark, folder):
     return topk.top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
