@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import bpe, chat, language, mixing, near_dedup, quality, topk, toxicity
+from furlong.llm import bpe, chat, extraction, language, mixing, near_dedup, quality, substring_dedup, topk, toxicity
 from furlong.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,12 +53,25 @@ def op4_near_dedup(spark, folder):
     return near_dedup.near_duplicates(read(spark, folder, "documents"))
 
 
+@query
+def op5_substring_dedup(spark, folder):
+    cleaned = substring_dedup.remove_repeats(read(spark, folder, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return cleaned.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
 @query
 def op6_source_mixing(spark, folder):
     mixed = mixing.mix(read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_html_extraction(spark, folder):
+    extracted = extraction.extract(read(spark, folder, "pages"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     return decoded.select(
