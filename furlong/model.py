@@ -64,12 +64,12 @@ IMPORT_ERRORS = (
 FEATURE_BATCHES = (
     "batch_id string, status string, mode string, as_of_at timestamp, feature_version int, "
     "total_count bigint, success_count bigint, failure_count bigint, inserted bigint, "
-    "updated bigint, started_at timestamp, finished_at timestamp"
+    "updated bigint, started_at timestamp, finished_at timestamp, failure_reason string"
 )
 PREDICTION_RUNS = (
     "run_id string, prediction_type string, model_version string, status string, mode string, "
     "as_of_at timestamp, total_count bigint, success_count bigint, failure_count bigint, "
-    "inserted bigint, updated bigint, started_at timestamp, finished_at timestamp"
+    "inserted bigint, updated bigint, started_at timestamp, finished_at timestamp, failure_reason string"
 )
 
 # Columns that identify a stored row. A merge matches on these.

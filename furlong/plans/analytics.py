@@ -142,20 +142,41 @@ def version_comparison(summaries: DataFrame) -> DataFrame:
     )
 
 
+def _number(item: Column) -> Column:
+    """The adjustment of a component: a number, a boolean, or a text that spells a number."""
+    kind = F.schema_of_variant(F.try_variant_get(item, "$.adjustment", "variant"))
+    text = F.trim(F.try_variant_get(item, "$.adjustment", "string"))
+    decimal = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    hexadecimal = text.rlike("^0[xX][0-9a-fA-F]+$")
+    spelt = F.when(decimal, text.try_cast("double")).when(hexadecimal, F.conv(F.substring(text, 3, 64), 16, 10).try_cast("double"))
+    return (
+        F.when(kind == "STRING", spelt)
+        .when(kind == "BOOLEAN", F.try_variant_get(item, "$.adjustment", "boolean").cast("double"))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(item, "$.adjustment", "double"))
+    )
+
+
 def parse_components(json: Column) -> Column:
     """Components from JSON text, tolerant of bad shapes.
 
     Elements that are no objects, and adjustments that are no finite number or
-    zero, are left out; a missing key, label or reason gets its default.
+    zero, are left out; a key, label or reason that is no text gets its default.
     """
-    parsed = F.from_json(json, f"components {RAW_COMPONENT}")["components"]
+    parsed = F.try_variant_get(F.try_parse_json(json), "$.components", "array<variant>")
+    objects = F.filter(parsed, lambda item: F.schema_of_variant(item).startswith("OBJECT"))
+
+    def text(item: Column, name: str, default: str) -> Column:
+        member = F.try_variant_get(item, f"$.{name}", "variant")
+        is_text = F.schema_of_variant(member) == "STRING"
+        return F.when(is_text, F.try_variant_get(item, f"$.{name}", "string")).otherwise(default)
+
     typed = F.transform(
-        parsed,
+        objects,
         lambda item: F.struct(
-            F.coalesce(item["key"], F.lit(UNKNOWN_KEY)).alias("key"),
-            F.coalesce(item["label"], F.lit(DEFAULT_LABEL)).alias("label"),
-            item["adjustment"].try_cast("double").alias("adjustment"),
-            F.coalesce(item["reason"], F.lit(DEFAULT_REASON)).alias("reason"),
+            text(item, "key", UNKNOWN_KEY).alias("key"),
+            text(item, "label", DEFAULT_LABEL).alias("label"),
+            _number(item).alias("adjustment"),
+            text(item, "reason", DEFAULT_REASON).alias("reason"),
         ),
     )
     finite = F.filter(
@@ -171,8 +192,8 @@ def parse_components(json: Column) -> Column:
 def _component_sums(base: DataFrame) -> DataFrame:
     """Counts and sums per version, key and label of the components that changed a score.
 
-    Fixed-width sums in thousandths: the aggregation hashes in place, its map
-    side leaves a few rows per task, and the order of adding does not matter.
+    Decimal sums: the map side leaves a few rows per task, and the order of
+    adding does not matter. Adjustments are taken to twelve places.
     """
     item = F.explode("score_components.components").alias("item")
     rows = base.select("model_version", item).select(
@@ -189,13 +210,13 @@ def _component_sums(base: DataFrame) -> DataFrame:
             F.count("*").alias("count"),
             F.count_if(F.col("adjustment") > 0).alias("positive_count"),
             F.count_if(F.col("adjustment") < 0).alias("negative_count"),
-            F.sum(F.rint(F.col("adjustment") * 1000).cast("long")).alias("thousandths"),
+            F.sum(F.col("adjustment").cast("decimal(38,12)")).alias("total"),
         )
     )
 
 
 def _contribution(label: Column) -> list[Column]:
-    mean = F.sum("thousandths") / F.lit(1000.0) / F.sum("count")
+    mean = F.sum("total").cast("double") / F.sum("count")
     return [
         label.alias("label"),
         *[F.sum(c).alias(c) for c in ("count", "positive_count", "negative_count")],

@@ -267,7 +267,7 @@ def _marks_of(key: str) -> str:
 def snapshot_id(key: Column, as_of_at: Column, version: Column) -> Column:
     """The natural key of a snapshot as one text."""
     return F.concat_ws(
-        ":", F.col("entry_id").cast("string"), key, version.cast("string"), F.date_format(as_of_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        ":", F.col("entry_id").cast("string"), key, version.cast("string"), F.unix_micros(as_of_at).cast("string")
     )
 
 

@@ -40,9 +40,10 @@ def used_snapshots(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("feature_snapshot_keys", known)
 
 
-def run_id(config: ScoringConfig, as_of: str | datetime) -> str:
-    """A readable default id for the run of one configuration at one instant."""
-    return f"{config.model_version}@{as_of}"
+def instant_label(at: Column) -> Column:
+    """One text per instant, however it was spelt: the day, or all digits where it is no midnight."""
+    day = F.date_format(at, "yyyy-MM-dd")
+    return F.when(F.date_trunc("day", at) == at, day).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
 def scored_rows(features: DataFrame, configs: Sequence[ScoringConfig]) -> DataFrame:
@@ -109,9 +110,10 @@ def generate_predictions(
         F.struct(-F.col("score"), F.floor(F.col("horse_number") / 1024)),
     )
     version = F.col("model_version")
-    run = F.concat(version, F.lit(f"@{as_of}"))
+    at = instant(as_of)
+    run = F.concat(version, F.lit("@"), instant_label(at))
     return ranked.select(
-        F.concat_ws(":", version, F.lit(str(as_of)), F.col("entry_id").cast("string")).alias("prediction_id"),
+        F.concat_ws(":", version, F.unix_micros(at).cast("string"), F.col("entry_id").cast("string")).alias("prediction_id"),
         run.alias("run_id"),
         F.lit(PREDICTION_TYPE).alias("prediction_type"),
         "model_version",
@@ -119,7 +121,7 @@ def generate_predictions(
         "entry_id",
         "horse_id",
         "jockey_id",
-        instant(as_of).alias("as_of_at"),
+        at.alias("as_of_at"),
         F.col("score").cast(STORED_SCORE).alias("prediction_score"),
         "rank_in_race",
         score_detail(configs).alias("score_components"),

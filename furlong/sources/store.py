@@ -1,8 +1,8 @@
 """Tables as Parquet folders, versioned so that a job replaces several at once.
 
-A job writes new folders beside the current ones and then renames one small
-pointer file. Readers follow the pointer, so they see all of a job's tables or
-none, and a failed or repeated job leaves the old version in place.
+A job writes new folders beside the current ones and then adds one small
+numbered pointer file. Readers follow the newest, so they see all of a job's
+tables or none, and a failed or repeated job leaves the old version in place.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from furlong import model
 from furlong.operators.latest import first_row
 
-_POINTER = "CURRENT.json"
+_POINTER = "CURRENT-"
 
 SCHEMAS = {
     "races": model.RACES,
@@ -58,23 +58,38 @@ def last_state(states: DataFrame) -> DataFrame:
     return first_row(states, states.columns[:1], [F.desc_nulls_last("finished_at"), F.desc("status")])
 
 
+class StaleTable(RuntimeError):
+    """Another job replaced a table that this one is about to replace."""
+
+
 class Store:
     """Current tables, run histories and import errors under one root folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # Which version of a table this job has read.
+        self._seen: dict[str, str | None] = {}
 
     def _file(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        """Number and content of the newest pointer file."""
+        root, fs = self._file("")
+        numbers = []
+        if fs.exists(root):
+            names = [status.getPath().getName() for status in fs.listStatus(root)]
+            numbers = [int(name[len(_POINTER) :]) for name in names if name.startswith(_POINTER)]
+        if not numbers:
+            return 0, {}
+        newest = max(numbers)
+        lines = self.spark.read.text(f"{self.root}/{_POINTER}{newest:09d}").collect()  # one short line
+        return newest, json.loads("".join(row["value"] for row in lines))
+
     def _folders(self) -> dict[str, str]:
-        path, fs = self._file(_POINTER)
-        if not fs.exists(path):
-            return {}
-        lines = self.spark.read.text(f"{self.root}/{_POINTER}").collect()  # one short line
-        return json.loads("".join(row["value"] for row in lines))
+        return self._pointer()[1]
 
     def has(self, table: str) -> bool:
         return table in self._folders()
@@ -82,6 +97,7 @@ class Store:
     def table(self, name: str, schema: str | None = None) -> DataFrame:
         """The current version; an empty table where none was written yet."""
         folder = self._folders().get(name)
+        self._seen[name] = folder
         if folder is None:
             return self.spark.createDataFrame([], schema or SCHEMAS[name])
         return self.spark.read.parquet(f"{self.root}/{folder}")
@@ -102,21 +118,27 @@ class Store:
         self.switch(self.prepare(tables))
 
     def switch(self, prepared: Mapping[str, str]) -> None:
-        """Make prepared versions the current ones, all at once."""
-        folders = {**self._folders(), **prepared}
-        fresh, fs = self._file(f"{_POINTER}.{uuid.uuid4().hex}")
-        stream = fs.create(fresh)
-        stream.write(bytearray(json.dumps(folders).encode("utf-8")))
-        stream.close()
-        current, _ = self._file(_POINTER)
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            fresh.toUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        options = self.spark.sparkContext._gateway.new_array(
-            self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1
-        )
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fresh, current, options)
+        """Make prepared versions the current ones, all at once.
+
+        Pointers are numbered and never overwritten: the new one is written aside
+        and renamed to the next number, which fails if another job was quicker.
+        Then its tables are taken over and the next number is tried. A table that
+        the other job replaced since this one read it is a conflict.
+        """
+        while True:
+            number, folders = self._pointer()
+            stale = [name for name in prepared if name in self._seen and folders.get(name) != self._seen[name]]
+            if stale:
+                raise StaleTable(f"replaced by another job meanwhile: {', '.join(sorted(stale))}")
+            fresh, fs = self._file(f".next-{uuid.uuid4().hex}")
+            stream = fs.create(fresh)
+            stream.write(bytearray(json.dumps({**folders, **prepared}).encode("utf-8")))
+            stream.close()
+            target, _ = self._file(f"{_POINTER}{number + 1:09d}")
+            if not fs.exists(target) and fs.rename(fresh, target):
+                self._seen.update(prepared)
+                return
+            fs.delete(fresh, False)
 
     def append_history(self, name: str, row: Mapping[str, object]) -> None:
         """Add one state of a run. Later states of the run replace earlier ones on reading."""

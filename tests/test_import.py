@@ -10,7 +10,7 @@ from furlong.operators import merge
 from furlong.operators.paging import page, page_totals
 from furlong.plans import ingest, jobs
 from furlong.sources import csv_bundle
-from furlong.sources.store import Store
+from furlong.sources.store import StaleTable, Store
 
 NOW = datetime(2026, 7, 5, tzinfo=timezone.utc)
 AT = "2026-07-01T09:00:00+09:00"
@@ -36,6 +36,41 @@ def test_blank_records_count_and_quoted_breaks_do_not(spark, tmp_path):
     assert read(spark, tmp_path, text) == [(2, "1", "A\nB"), (5, "4", "D"), (6, "5", "")]
 
 
+def test_odd_headers(spark, tmp_path):
+    """A nameless column keeps its place, of equal names the last one counts."""
+    found = csv_bundle.read_csv(spark, write(tmp_path / "h.csv", "id,,name,id\n1,X,A,2\n,Y,,\n")).orderBy("row_number").collect()
+    assert [(r["name"], r["id"]) for r in found] == [("A", "2"), ("", "")]
+
+
+def test_open_quote_rejects_the_file(spark, tmp_path):
+    with pytest.raises(ValueError, match="not closed"):
+        csv_bundle.read_csv(spark, write(tmp_path / "q.csv", 'id,name\n1,"A\n2,B\n'))
+
+
+def test_two_jobs_on_one_store(spark, tmp_path):
+    root = str(tmp_path / "shared")
+    one, two = Store(spark, root), Store(spark, root)
+    first, second = spark.range(1), spark.range(2)
+    prepared = one.prepare({"left": first})
+    two.replace({"right": second})
+    one.switch(prepared)
+    assert Store(spark, root).table("left", "id long").count() == 1 and Store(spark, root).table("right", "id long").count() == 2
+    # Both read a table and replace it: the slower one must not undo the other.
+    one.table("left", "id long"), two.table("left", "id long")
+    one.replace({"left": second})
+    with pytest.raises(StaleTable):
+        two.replace({"left": first})
+    assert Store(spark, root).table("left", "id long").count() == 2
+
+
+def test_failed_runs_keep_their_reason(spark, store):
+    row = {"batch_id": "x", "started_at": NOW}
+    with pytest.raises(RuntimeError):
+        jobs._run_history(store, "feature_batches", row, lambda: (_ for _ in ()).throw(RuntimeError("no " + "space " * 900)))
+    kept = store.history("feature_batches").filter("batch_id = 'x'").first()
+    assert kept["status"] == "failed" and kept["failure_reason"] == "no " + "space " * 900
+
+
 def test_splits_are_joined(spark, tmp_path):
     """A small split size cuts inside quoted text; numbers and records stay right."""
     body = "".join(f'{n},"name ""{n}"",\nline two of {n}"\n' for n in range(2, 400))
@@ -230,10 +265,16 @@ def test_imports_then_pipeline(spark, store, tmp_path):
     assert jobs.generate_features(store, as_of, NOW) == {"calculated": 92, "inserted": 0, "updated": 92}
     assert store.table("feature_definitions").count() == 23
     assert jobs.run_predictions(store, as_of, NOW, run_id="r1") == {"calculated": 4, "inserted": 4, "updated": 0}
-    assert jobs.run_evaluation(store, NOW) == {"calculated": 4, "inserted": 4, "updated": 0}
+    counts = {"calculated": 4, "inserted": 4, "updated": 0, "targets": 4, "runs": 1, "skipped": 0}
+    assert jobs.run_evaluation(store, NOW) == counts
     # A repeated run takes the predictions over; their evaluations keep the first run.
-    assert jobs.run_predictions(store, as_of, NOW, run_id="r2") == {"calculated": 4, "inserted": 0, "updated": 4}
-    assert jobs.run_evaluation(store, NOW) == {"calculated": 4, "inserted": 0, "updated": 4}
+    # The instant may be spelt in another zone: ids stay, no evaluation loses its prediction.
+    kept = {r["entry_id"]: r["prediction_id"] for r in store.table("predictions").collect()}
+    again = as_of.astimezone(timezone(timedelta(hours=9)))
+    assert jobs.run_predictions(store, again, NOW, run_id="r2") == {"calculated": 4, "inserted": 0, "updated": 4}
+    assert kept == {r["entry_id"]: r["prediction_id"] for r in store.table("predictions").collect()}
+    assert jobs.run_evaluation(store, NOW) == {**counts, "inserted": 0, "updated": 4}
+    assert {r["prediction_id"] for r in store.table("evaluations").collect()} == set(kept.values())
     assert {r["run_id"] for r in store.table("predictions").collect()} == {"r2"}
     assert {r["run_id"] for r in store.table("evaluations").collect()} == {"r1"}
     later = {r["entry_id"]: r for r in store.table("feature_rows").collect()}

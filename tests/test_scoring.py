@@ -240,3 +240,8 @@ def test_component_parsing(spark):
     rows = spark.createDataFrame(texts, "j string").select(analytics.parse_components(F.col("j")).alias("c")).collect()
     assert [(c["key"], c["label"], c["adjustment"]) for c in rows[0]["c"]] == [("a", "L", 2.0), ("unknown", "特徴量", 1.5)]
     assert [r["c"] for r in rows[1:]] == [[], [], [], []]
+    odd = '{"components":[5,{"key":7,"label":true,"adjustment":true},{"key":{},"adjustment":"0x10"},{"adjustment":"1d"},{"key":"k","adjustment":" -2e1 "}]}'
+    kept = spark.createDataFrame([(odd,)], "j string").select(F.inline(analytics.parse_components(F.col("j")))).collect()
+    assert [(c["key"], c["label"], c["adjustment"]) for c in kept] == [
+        ("unknown", "特徴量", 1.0), ("unknown", "特徴量", 16.0), ("k", "特徴量", -20.0)
+    ]

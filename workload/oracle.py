@@ -107,17 +107,20 @@ hf as (
     h_ra as horse_available_until, h_ro as horse_observed_until
   from vis v join hagg h on v.entry_id = h.entry_id and v.as_of_at = h.as_of_at)"""
 
+# Earlier starts as a frame that ends before the row's own instant: a self join of a jockey's starts takes too long.
 _JOCKEY = f"""
+hist as (
+  select v.*, p.pos, p.ra, p.ro from vis v left join past p on p.entry_id = v.entry_id and p.as_of_at = v.as_of_at),
 jagg as (
-  select t.entry_id, t.as_of_at,
-    count(*) filter (p.venue = t.venue) as v_n, count(*) filter (p.venue = t.venue and p.pos = 1) as v_1,
-    count(*) filter (p.venue = t.venue and p.pos <= 3) as v_3,
-    count(*) filter (p.dist = t.dist) as d_n, count(*) filter (p.dist = t.dist and p.pos = 1) as d_1,
-    count(*) filter (p.dist = t.dist and p.pos <= 3) as d_3,
-    max(p.ra) filter (p.venue = t.venue) as v_ra, max(p.ro) filter (p.venue = t.venue) as v_ro,
-    max(p.ra) filter (p.dist = t.dist) as d_ra, max(p.ro) filter (p.dist = t.dist) as d_ro
-  from vis t left join past p on p.jockey_id = t.jockey_id and p.as_of_at = t.as_of_at and p.start_at < t.start_at
-  group by t.entry_id, t.as_of_at),
+  select entry_id, as_of_at,
+    count(ra) over at_venue as v_n, count(ra) filter (pos = 1) over at_venue as v_1, count(ra) filter (pos <= 3) over at_venue as v_3,
+    count(ra) over at_dist as d_n, count(ra) filter (pos = 1) over at_dist as d_1, count(ra) filter (pos <= 3) over at_dist as d_3,
+    max(ra) over at_venue as v_ra, max(ro) over at_venue as v_ro, max(ra) over at_dist as d_ra, max(ro) over at_dist as d_ro
+  from hist
+  window at_venue as (partition by jockey_id, as_of_at, venue order by start_at
+                      range between unbounded preceding and interval 1 microsecond preceding),
+         at_dist as (partition by jockey_id, as_of_at, dist order by start_at
+                     range between unbounded preceding and interval 1 microsecond preceding)),
 jf as (
   select v.entry_id, v.race_id, v.horse_id, v.jockey_id, v.as_of_at,
     v_n as jockey_venue_starts, v_1 as jockey_venue_wins, v_3 as jockey_venue_top3,
@@ -263,7 +266,7 @@ _PREDICTIONS = (
     )
     + f"""),
 preds as (
-  select model_version || ':' || strftime(s.as_of_at, '%Y-%m-%d') || ':' || s.entry_id as prediction_id,
+  select model_version || ':' || epoch_us(s.as_of_at) || ':' || s.entry_id as prediction_id,
     model_version || '@' || strftime(s.as_of_at, '%Y-%m-%d') as run_id, model_version, s.as_of_at,
     s.race_id, s.entry_id, s.horse_id, s.jockey_id, score as prediction_score,
     row_number() over (partition by model_version, s.as_of_at, s.race_id order by score desc, v.horse_number) as rank_in_race
@@ -323,8 +326,8 @@ _SMALL = "evaluated_race_count > 0 and evaluated_race_count < 30 as is_small_sam
 _BY_VERSION = f"byver as (select *, {_SMALL} from (select model_version, {_METRICS} from base group by model_version) x)"
 
 _CONTRIBUTIONS = f"""{_ALL_COMPONENTS},
-used as (select model_version, feature_key, label, cast(adjustment as decimal(9,3)) as adjustment
-  from comps where cast(adjustment as decimal(9,3)) <> 0)"""
+used as (select model_version, feature_key, label, cast(adjustment as decimal(38,12)) as adjustment
+  from comps where adjustment <> 0)"""
 
 
 def _contribution(keys: str) -> str:
