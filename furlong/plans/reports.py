@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong import registry
@@ -66,9 +66,14 @@ def race_card(
     """Entries with masters, result, latest features and latest prediction.
 
     One race, or every race when no id is given. The features are those of the
-    newest instant, whatever it is.
+    newest instant, whatever it is. A given id filters the scans of entries,
+    features and predictions, so nothing of other races is looked up.
     """
-    entries = tables.entries if race_id is None else tables.entries.filter(F.col("race_id") == F.lit(race_id))
+    entries = tables.entries
+    if race_id is not None:
+        entries, feature_rows, predictions = (
+            rows.filter(F.col("race_id") == F.lit(race_id)) for rows in (entries, feature_rows, predictions)
+        )
     results = tables.results.select(
         "entry_id", "finish_position", "finish_status", "finish_time_milliseconds", "final_odds",
         F.col("status").alias("result_status"),
@@ -81,9 +86,6 @@ def race_card(
     ).select(
         "entry_id", "prediction_score", "rank_in_race", F.col("as_of_at").alias("prediction_as_of_at")
     )
-    if race_id is not None:
-        wanted = entries.select("entry_id")
-        latest, predicted = latest.join(wanted, "entry_id", "left_semi"), predicted.join(wanted, "entry_id", "left_semi")
     horses = tables.horses.select("horse_id", F.col("name").alias("horse_name"), F.col("sex").alias("horse_sex"))
     jockeys = tables.jockeys.select("jockey_id", F.col("name").alias("jockey_name"))
     trainers = tables.trainers.select(
@@ -110,6 +112,24 @@ def race_card(
     )
 
 
+def race_card_one(tables: Tables, feature_rows: DataFrame, predictions: DataFrame, race_id: object) -> DataFrame:
+    """One race's card with the race itself, the components of the prediction, and its place in the list."""
+    race = tables.races.filter(F.col("race_id") == F.lit(race_id)).select(
+        "race_id", "race_date", "venue", "race_number", F.col("name").alias("race_name"), F.col("surface").alias("race_surface"),
+        "distance_meters", F.col("status").alias("race_status"),
+    )
+    parts = latest_predictions(predictions.filter(F.col("race_id") == F.lit(race_id))).select("entry_id", "score_components")
+    card = race_card(tables, feature_rows, predictions, race_id).join(race, "race_id").join(parts, "entry_id", "left")
+    place = F.row_number().over(Window.partitionBy("race_id").orderBy(F.asc_nulls_last("horse_number"), "entry_id"))
+    return card.withColumn("position", place).orderBy("position")
+
+
+def run_detail_one(tables: Tables, predictions: DataFrame, evaluations: DataFrame, run_id: str) -> DataFrame:
+    """One run's predictions in the order of date, race number and rank."""
+    order = [F.asc("race_date"), F.asc("race_number"), F.asc_nulls_last("rank_in_race"), F.asc("prediction_id")]
+    return prediction_detail(tables, predictions, evaluations, run_id).orderBy(*order)
+
+
 def feature_batches_page(batches: DataFrame, number: int, status: str = "all") -> DataFrame:
     kept = batches if status == "all" else batches.filter(F.col("status") == status)
     return page(kept, [F.desc("started_at"), F.asc("batch_id")], number, HISTORY_PAGE_SIZE)

@@ -656,3 +656,22 @@ select feature_key, as_of_at, count(*) as snapshots,
   cast(sum(value_number + case when as_of_at = timestamp '{LATE} 00:00:00' then 1 else 0 end) as double) as value_sum
 from {_long('feat')} x group by all""",
 }
+
+ORACLES["race_card_one"] = f"""
+select c.*, r.race_date, r.venue, r.race_number, r.name as race_name, r.surface as race_surface, r.distance_meters, r.status as race_status,
+  row_number() over (order by c.horse_number, c.entry_id) as position, k.components, k.adjusted
+from ({ORACLES["race_card"]}) c
+join (with {_RACES} select * from r_races) r on r.race_id = c.race_id
+left join (
+  {_UP_TO_PREDICTIONS}, {_ALL_COMPONENTS},
+  newest as (select * from (select *, row_number() over (partition by entry_id order by as_of_at desc, model_version desc) as rn from preds) x where rn = 1)
+  select n.entry_id, count(*) as components, coalesce(sum(cast(k.adjustment as decimal(18,6))), 0)::double as adjusted
+  from newest n join comps k on k.entry_id = n.entry_id and k.as_of_at = n.as_of_at and k.model_version = n.model_version
+  group by n.entry_id) k on k.entry_id = c.entry_id
+where c.race_id = (with {_RACES} select min(race_id) from r_races)"""
+ORACLES["run_detail_one"] = f"select * from ({ORACLES['prediction_detail']}) where run_id = 'rule-based-v1@{EARLY}'"
+ORACLES["feature_batches_list"] = f"""{_BOTH}
+select 'batch@' || strftime(as_of_at, '%Y-%m-%d') as batch_id, as_of_at as started_at, count(*) * 23 as total_count, 'succeeded' as status
+from vis group by all order by started_at desc limit 20"""
+ORACLES["import_batch_detail"] = f"""
+select * exclude (line), 'b1' as batch_id from ({ORACLES["import_errors"]}) where row_number % 3 = 1"""

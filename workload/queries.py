@@ -447,6 +447,43 @@ def race_card(spark, folder):
     )
 
 
+@query
+def race_card_one(spark, folder):
+    """The card of the race with the smallest id; its components as their number and sum."""
+    known = stages.tables(spark, folder)
+    first = known.races.agg(F.min("race_id")).first()[0]
+    card = reports.race_card_one(known, stages.feature_rows(spark, folder), stages.prediction_rows(spark, folder), first)
+    adjustments = F.transform("score_components.components", lambda item: item["adjustment"].cast("decimal(18,6)"))
+    total = F.aggregate(adjustments, F.lit(0).cast("decimal(28,6)"), lambda a, x: (a + F.coalesce(x, F.lit(0))).cast("decimal(28,6)"))
+    return card.withColumns({"components": F.size(adjustments), "adjusted": total}).drop("score_components")
+
+
+@query
+def run_detail_one(spark, folder):
+    """All predictions of the first version's early run."""
+    run = f"{CONFIGS[0].model_version}@{EARLY}"
+    rows = reports.run_detail_one(
+        stages.tables(spark, folder), stages.prediction_rows(spark, folder), stages.evaluation_rows(spark, folder), run
+    )
+    return rows.drop("score_components")
+
+
+@query
+def feature_batches_list(spark, folder):
+    batches = stages.feature_rows(spark, folder).groupBy("batch_id", F.col("as_of_at").alias("started_at"))
+    batches = batches.agg((F.count("*") * len(registry.ALL)).alias("total_count")).withColumn("status", F.lit("succeeded"))
+    return reports.feature_batches_page(batches, 1, status="succeeded")
+
+
+@query
+def import_batch_detail(spark, folder):
+    """Errors of one of three batches."""
+    rows = ingest.validate(bundle.race_texts(stages.tables(spark, folder)), "races")
+    batch = F.concat(F.lit("b"), (F.col("row_number") % 3).cast("string"))
+    errors = ingest.validation_errors(rows, "races").withColumns({"batch_id": batch, "created_at": F.lit("2026-07-05").cast("timestamp")})
+    return reports.import_batch_errors(errors, "b1").drop("raw_row", "created_at")
+
+
 @query
 def feature_batch_detail(spark, folder):
     return reports.feature_batch_detail(stages.feature_rows(spark, folder))
