@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass
-from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 # --- fixed values: scoring weights per model version -------------------------
 _RULE_BASED_V1 = {
     "modelVersion": "rule-based-v1",
@@ -185,9 +186,11 @@ BUILT_IN: dict[str, ScoringConfig] = {
 }
 
 
-def read_configs(folder: str | Path) -> dict[str, ScoringConfig]:
-    """Configurations from the ``*.json`` files of a folder, by model version."""
-    parsed = [parse_config(json.loads(path.read_text("utf-8"))) for path in sorted(Path(folder).glob("*.json"))]
+def read_configs(spark: SparkSession, folder: str) -> dict[str, ScoringConfig]:
+    """Configurations from the ``*.json`` files of a folder that the cluster shares, by model version."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    texts = sorted((row["path"], row["value"]) for row in files.select("_metadata.file_path", "value").toDF("path", "value").collect())
+    parsed = [parse_config(json.loads(text)) for _, text in texts]
     return {config.model_version: config for config in parsed}
 
 

@@ -1,10 +1,12 @@
 """CSV reading, validation, and the jobs on a store."""
 
+import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from furlong import commands
 from furlong.functions import scalars
 from furlong.operators import merge
 from furlong.operators.paging import page, page_totals
@@ -306,3 +308,14 @@ def test_errors_reject_everything(spark, store, tmp_path):
     assert states["bad"] == ("failed", 1) and states["lost"] == ("failed", 4)
     assert states["twice"] == ("failed", 1) and states["absent"] == ("failed", 1)
     assert sorted(map(str, store.table("races").collect())) == before
+
+
+def test_commands(spark, store, tmp_path, capsys):
+    root = str(tmp_path / "tables")
+    assert commands.main(["import", "--store", root, "--source-dir", bundle(tmp_path, "good"), "--dry-run"]) == 0
+    assert json.loads(capsys.readouterr().out)["valid"] == 14
+    assert commands.main(["import", "--store", root, "--source-dir", str(tmp_path / "absent")]) == 1
+    assert capsys.readouterr().err
+    assert commands.main(["predictions", "--store", root, "--model-version", "none", "--as-of-at", "2026-06-19T00:00:00+00:00"]) == 1
+    with pytest.raises(SystemExit):
+        commands.main(["features", "--store", root, "--as-of-at", "2026-06-19T00:00:00"])

@@ -110,13 +110,13 @@ def test_bad_configurations(change):
         parse_config(broken(change))
 
 
-def test_configuration_lookup(tmp_path):
+def test_configuration_lookup(spark, tmp_path):
     assert get_config().model_version == "rule-based-v1"
     assert list(BUILT_IN) == ["rule-based-v1", "rule-based-v1.1"]
     with pytest.raises(ConfigError, match="rule-based-v1.1"):
         get_config("v9")
     (tmp_path / "own.json").write_text(json.dumps(broken(lambda c: c.update(modelVersion="own"))), "utf-8")
-    assert list(scoring_config.read_configs(tmp_path)) == ["own"]
+    assert list(scoring_config.read_configs(spark, str(tmp_path))) == ["own"]
     with pytest.raises(ConfigError):
         get_config().parameters("horse.surface_top3_rate", "boolean")
 
