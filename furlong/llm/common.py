@@ -19,6 +19,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # Rows that go to Python at once. Texts can be long, so the batches are small.
 BATCH_ROWS = 1000
+FILTER_BITS = 1 << 23
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,6 +43,23 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Adds ``__maybe``: false only where the row's whole number ``column`` is surely none of ``keys``.
+
+    A bitmap of hashed keys, 1 MB at any size, is all that is broadcast. It keeps
+    most texts that a join would drop out of its shuffle; the join itself stays
+    exact. With very many keys it lets more rows through, never fewer.
+    """
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767).cast("long"))
+    maps = keys.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket")
+    maps = maps.agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    placed = rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return placed.select(*[rows[name] for name in rows.columns], F.coalesce(on, F.lit(False)).alias("__maybe"))
+
+
 _shipped: set[str] = set()
 
 
@@ -59,7 +77,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` over batches of bounded size."""
     ship(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
