@@ -381,3 +381,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame, learn_from: Column) -> DataFrame:
     """Learns from the rows for which ``learn_from`` holds, predicts for all."""
     return predict(docs, fit(sample(docs.filter(learn_from))))
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows, with all columns, whose language is known with at least this share of the words."""
+    place = docs.columns.index("text")
+
+    def step(batches):
+        tagger = Tagger(model)
+        for batch in batches:
+            keep = []
+            for group in groups(batch.column(place).to_pylist()):
+                posterior, at = tagger.tag(group) if model.labels and any(group) else None, 0
+                for found in group:
+                    keep.append(bool(found and model.labels and posterior[at : at + len(found)].mean(0).max() >= least))
+                    at += len(found)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(docs, step, docs.schema)

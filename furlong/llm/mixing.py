@@ -39,7 +39,8 @@ BIN_BITS = 10
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"))
+    size = F.size(word_array(F.col("text"))).cast("long").alias("size")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "source", size)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def offsets(sized: DataFrame, n_docs: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` of every document."""
+    """``doc_id``, ``text_key`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken`` of every row."""
     sized = staged(sizes(docs), "sizes")
     goals = staged(targets(sized), "targets")
     whole = sized.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -126,7 +127,7 @@ def mix(docs: DataFrame) -> DataFrame:
     numbered = sized.withColumnRenamed("source", "own").join(
         goals.withColumnRenamed("source", "of"), F.col("own").eqNullSafe(F.col("of"))
     )
-    numbered = numbered.select("doc_id", F.col("own").alias("source"), "size", "sid", "source_size", "target", "goal")
+    numbered = numbered.select("doc_id", "text_key", F.col("own").alias("source"), "size", "sid", "source_size", "target", "goal")
     placed = staged(offsets(numbered, whole["docs"]), "offsets")
 
     pieces = placed.filter("size > 0").select("sid", "start", "size", "source_size", "goal", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
@@ -140,5 +141,5 @@ def mix(docs: DataFrame) -> DataFrame:
     # A document with words has its place in the stream to itself.
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     filled = placed.filter("size > 0").join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    names = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    names = ["doc_id", "text_key", "source", "size", "source_size", "target", "taken"]
     return filled.select(names).unionByName(empty.select(names))

@@ -1,3 +1,157 @@
-"""DuckDB counterparts of the queries that SQL can express."""
+"""DuckDB counterparts of the queries that SQL can express, over whole tables."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_MEASURES = ("word_length", "symbol_share", "line_share", "repeat_share")
+# Least distances of a fence from its quartile, the factor and the least group, as the method states them.
+_SLACK = {"word_length": 400, "symbol_share": 60, "line_share": 250, "repeat_share": 160}
+
+
+def _fences(name: str, columns: str, using: str) -> str:
+    sides = ", ".join(
+        f"""min(value) filter (measure = '{m}' and 4 * upto >= 3 * total)
+              + greatest(4 * (min(value) filter (measure = '{m}' and 4 * upto >= 3 * total)
+                            - min(value) filter (measure = '{m}' and 4 * upto >= total)), {_SLACK[m]}) as {m}_most"""
+        for m in _MEASURES
+    )
+    low = """min(value) filter (measure = 'word_length' and 4 * upto >= total)
+              - greatest(4 * (min(value) filter (measure = 'word_length' and 4 * upto >= 3 * total)
+                            - min(value) filter (measure = 'word_length' and 4 * upto >= total)), 400) as word_length_least"""
+    part = ", ".join(x for x in (columns, "measure") if x)
+    return f"""
+    {name} as (
+      select {columns + ',' if columns else ''} max(total) as size, {sides}, {low}
+      from (select {part}, sum(n) over (partition by {part} order by b) as upto, sum(n) over (partition by {part}) as total,
+                   case when b < 32 then b else (b - 16 * (b // 16 - 1)) << (b // 16 - 1)::int end as value
+            from (select {part}, b, sum(n)::bigint as n from sketch group by {part}, b))
+      {using})"""
+
+
+_LIMITS = ", ".join(
+    f"case when o.size >= 50 then o.{c} when l.size >= 50 then l.{c} else a.{c} end as {c}"
+    for c in (*(f"{m}_most" for m in _MEASURES), "word_length_least")
+)
+
+QUALITY = f"""
+with base as (
+  select doc_id, lang, source, coalesce(text, '') as text, {WORDS} as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines,
+         row_number() over () as r
+  from documents),
+windows as (
+  select r, i, w[i:i + 4] as g from (select r, w, unnest(range(1, len(w) - 3)) as i from base where len(w) >= 5)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as c from windows) where c > 1),
+covered as (select r, count(distinct i + j) as n from (select r, i, unnest(range(0, 5)) as j from twice) group by r),
+counted as (
+  select b.r, doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(lines)::bigint as n_lines,
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
+  from base b left join covered c using (r)),
+measured as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         case when n_words > 0 then word_chars * 100 // n_words else 0 end as word_length,
+         case when word_chars > 0 then n_symbols * 1000 // word_chars else 0 end as symbol_share,
+         case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as line_share,
+         case when n_words > 0 then n_repeat_words * 1000 // n_words else 0 end as repeat_share
+  from counted),
+sketch as (
+  select lang, source, measure,
+         case when v < 32 then v else 16 * (length(bin(v)) - 5) + (v >> (length(bin(v)) - 5)::int) end as b, count(*) as n
+  from (unpivot (select lang, source, word_length, symbol_share, line_share, repeat_share from measured where not base_failed)
+        on word_length, symbol_share, line_share, repeat_share into name measure value v)
+  group by all),
+{_fences("own", "lang, source", "group by lang, source")},
+{_fences("by_lang", "lang", "group by lang")},
+{_fences("everything", "", "")},
+limits as (
+  select o.lang, o.source, {_LIMITS}
+  from own o join by_lang l on o.lang is not distinct from l.lang, everything a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and coalesce(
+         {" and ".join(f"{m} <= {m}_most" for m in _MEASURES)} and word_length >= word_length_least, false) as kept
+from measured m left join limits t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
+"""
+
+CHAT = r"""
+with turns as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+escaped as (
+  select *, regexp_replace(text, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|role:|<\|end\|>|<\|(image|audio|document):)',
+                           '\1\1\\\2', 'g') as body
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(body) + case role when 'user' then 18 when 'system' then 17 when 'assistant' then 6
+                          else 18 + length(coalesce(role, '')) end)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+SUBSTRINGS = f"""
+with words as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+windows as (
+  select r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as g
+  from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+covered as (
+  select distinct r, i + j as place
+  from (select r, i, unnest(range(0, 50)) as j
+        from (select r, doc_id, i, min(doc_id) over (partition by g) as first from windows) where first < doc_id)),
+places as (select r, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from words),
+kept as (
+  select r, string_agg(word, ' ' order by place) as text, count(*) as n
+  from places anti join covered using (r, place) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from words left join kept using (r)
+"""
+
+MIXING = f"""
+with sized as (select doc_id, source, len({WORDS})::bigint as size from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as sid from sized group by source),
+weighed as (
+  select *, [5, 2, 1][(sid % 3 + 1)::int] as weight, 3 * source_size as most from sources),
+filling as (
+  select *, most / weight as ratio,
+         (sum(source_size) over () - coalesce(sum(most) over f, 0)) / (sum(weight) over () - coalesce(sum(weight) over f, 0)) as level
+  from weighed window f as (order by most / weight, sid rows between unbounded preceding and 1 preceding)),
+targets as (
+  select sid, source, source_size,
+         case when ratio <= level then most::double else weight * max(level) filter (ratio > level) over () end as target
+  from filling),
+placed as (
+  select s.*, t.source_size, t.target, floor(t.target)::bigint as goal,
+         (sum(size) over (partition by t.sid order by md5('mix:' || coalesce(doc_id::varchar, '')), doc_id, size
+                          rows between unbounded preceding and current row) - size)::bigint as start
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       case when source_size = 0 then 0
+            else (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) end::bigint as taken
+from placed
+"""
+
+TOP_K = """
+with vectors as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v, row_number() over () as r
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from (select distinct vec_id, v from vectors where vec_id % 20 = 0) q
+  join vectors c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY,
+    "op2_chat_format": CHAT,
+    "op5_substring_dedup": SUBSTRINGS,
+    "op6_source_mixing": MIXING,
+    "op10_exact_top_k": TOP_K,
+}

@@ -1,14 +1,52 @@
 """The stages of the corpus pipeline: (name, function of (spark, docs, folder)).
 
-All but the last return the columns of documents.
+Each works on all rows its predecessor kept; all but the last return the columns
+of documents. Rows may repeat and ids may be null.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import public_tokenizers
-from furlong.llm.queries import TOKENIZER, digests
+from furlong.llm import language, mixing, near_dedup, substring_dedup
+from furlong.llm.common import word_array
+from furlong.llm.queries import TOKENIZER, crc, digests
+
+# A text stays if one language has at least this share of its words.
+LEAST_SHARE = 0.5
+
+
+def languages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drops texts without letters and texts in which no language has half of the words."""
+    model = language.fit(language.sample(docs.filter(crc(5) != 0)))
+    return language.keep_identified(docs, model, LEAST_SHARE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keeps the smallest id of each group, once. Rows without an id stay."""
+    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Takes out passages that a smaller id holds; texts of which nothing is left go."""
+    return substring_dedup.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """As many copies of a document as the mix takes; what is left over are its first words."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"))
+    taken = taken.agg(F.max("size").alias("m_size"), F.sum("taken").alias("m_taken")).filter("m_taken > 0")
+    rows = docs.withColumn("m_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "m_text_key"])
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_text_key") == F.col("m_key")))
+    whole, rest = F.floor(F.col("m_taken") / F.col("m_size")), F.col("m_taken") % F.col("m_size")
+    rows = rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(rest > 0, 1).otherwise(0))))
+    part = F.array_join(F.slice(word_array(F.col("text")), F.lit(1), rest.cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("m_copy") <= whole, F.col("text")).otherwise(part))
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -16,4 +54,10 @@ def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return digests(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("byte-level BPE", tokens)]
+STAGES = [
+    ("language ID", languages),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", substrings),
+    ("mixing sources", mixture),
+    ("byte-level BPE", tokens),
+]
