@@ -1,0 +1,80 @@
+"""Registered queries against their SQL counterparts, and the pipeline stage by stage."""
+
+import hashlib
+import struct
+
+import pytest
+from compare import compare, connect
+
+import corpus_pipeline
+from furlong.llm import bpe, language, stages
+from furlong.llm.common import staged
+from furlong.llm.oracle import ORACLES
+from furlong.llm.queries import QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, small, name):
+    outcome, *_ = compare(spark, connect(small), small, name, QUERIES[name], ORACLES[name])
+    assert outcome.startswith("ok")
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+def plain(frame):
+    return sorted(map(tuple, frame.select("doc_id", "text").collect()), key=str)
+
+
+def test_pipeline(spark, small):
+    """Every stage's rows follow from its predecessor's by a plain loop; the whole run gives the last stage's rows."""
+    from test_mixing import brute as mixed
+    from test_near_dedup import brute as grouped
+    from test_substring_dedup import brute as cleaned
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    first = staged(stages.languages(spark, docs, small), "test")
+    model = language.fit(language.sample(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0")))
+    tagger = language.Tagger(model)
+    share = {t: tagger.tag([language.split(t)]).mean(0).max() if language.split(t) else 0 for _, t in plain(docs)}
+    assert plain(first) == [row for row in plain(docs) if share[row[1]] >= 0.5]
+
+    second = staged(stages.near_duplicates(spark, first, small), "test")
+    rows = plain(first)
+    keep = {key for key, _, component in grouped(rows) if key == component}
+    assert plain(second) == [row for row in rows if row[0] in keep]
+
+    third = staged(stages.substrings(spark, second, small), "test")
+    rows = plain(second)
+    want = {int(key): (removed, text) for key, _, removed, text in cleaned(rows, 50)}
+    expected = [(key, want[key][1] if want[key][0] else text) for key, text in rows if want[key][1] or not want[key][0]]
+    assert plain(third) == sorted(expected, key=str)
+
+    fourth = staged(stages.mixture(spark, third, small), "test")
+    rows = [tuple(r) for r in third.select("doc_id", "text", "source").collect()]
+    expected = []
+    for (key, text, _), (size, _, _, taken) in zip(rows, mixed(rows)):
+        if size:
+            expected += [(key, text)] * (taken // size)
+            if taken % size:
+                expected.append((key, b" ".join(text.encode().split()[: taken % size]).decode()))
+    assert plain(fourth) == sorted(expected, key=str)
+
+    path, pattern = stages.public_tokenizers.path(stages.TOKENIZER), stages.public_tokenizers.PATTERN
+    out = []
+    for key, text in plain(fourth):
+        ids = bpe.encode_text(text, path, pattern)
+        out.append((key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert struct.calcsize("<I") == 4
+    found = corpus_pipeline.run(spark, small).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, found)) == sorted(out)
+
+
+def test_stages_take_odd_rows(spark, documents):
+    docs = documents([(1, None), (2, ""), (None, "some words here"), (3, "some words here"), (3, "some words here"), (4, "x")])
+    for empty in (False, True):
+        rows = docs.limit(0) if empty else docs
+        for name, stage in stages.STAGES:
+            rows = staged(stage(spark, rows, ""), "test")
+            assert name == stages.STAGES[-1][0] or rows.columns == docs.columns
