@@ -11,10 +11,11 @@ all bands with a probability of 4e-7.
 2. In every bucket (band value) of two or more, all are compared with the
    smallest id, each pair once, on full sets. Links give components.
 3. In buckets that still hold several components, members are dealt into blocks
-   of ``BLOCK``; every two blocks meet in a tile, where pairs of different
-   components are compared in the first band that they share. Only links leave
-   a tile. So all candidates are either compared or already in one component,
-   and no list of all pairs of a bucket is made.
+   of ``BLOCK``, apart for the component of the smallest id and for the others;
+   each block of the others meets every block in a tile, where pairs of
+   different components are compared in the first band that they share. Only
+   links leave a tile. So all candidates are either compared or already in one
+   component, and no list of all pairs of a bucket is made.
 4. The links of step 3 join the components.
 
 Texts that are null or have no word have an empty set and no link. Rows of one
@@ -31,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches, staged, words
+from furlong.llm.common import Bounded, map_batches, maybe_in, staged, words
 from furlong.llm.components import components
 
 SHINGLE = 3
 PERCENT = 85
 HASHES, BANDS, ROWS = 64, 25, 5
-BLOCK = 64
+BLOCK = 256
 MEMO = 200_000
 NO_ID = (1 << 63) - 1
 
@@ -187,22 +188,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text").filter(F.col("text").isNotNull())
-    texts = staged(rows.join(asked, "node"), "candidates")
+    likely = maybe_in(rows, asked, "node").filter("__maybe").drop("__maybe")
+    texts = staged(likely.join(asked.hint("merge"), "node"), "candidates")
     links = staged(confirmed(pairs, texts), "confirmed")
     # Different sets under one id are one document.
     of_class = full.select("id", "digest").join(classes.select("digest", "node"), "digest")
     ids = of_class.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
     found = components(links.unionByName(ids))
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components. Members outside the head's component meet everyone.
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    labelled = labelled.join(mixed.select("key"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    labelled = labelled.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = labelled.withColumn("other", other).select(
-        "key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    of_head = F.max(F.when(F.col("node") == F.col("head"), F.col("component")))
+    mixed = labelled.groupBy("key").agg(of_head.alias("major"), F.min("component").alias("low"), F.max("component").alias("high"))
+    labelled = labelled.join(mixed.filter("low < high").select("key", "major"), "key")
+    labelled = staged(labelled.withColumn("minor", F.col("component") != F.col("major")).select("key", "node", "component", "minor"), "mixed")
+    sizes = labelled.groupBy("key").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors"))
+    blocks = [F.ceil(F.col(name) / BLOCK).cast("int").alias(f"{name[:5]}_blocks") for name in ("minors", "majors")]
+    labelled = labelled.join(sizes.select("key", *blocks), "key")
+    place = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minor_blocks")).otherwise(F.col("major_blocks"))).cast("int")
+    block = F.when(F.col("minor"), place).otherwise(F.col("minor_blocks") + place)
+    partners = F.when(F.col("minor"), F.col("minor_blocks") + F.col("major_blocks")).otherwise(F.col("minor_blocks"))
+    tiles = labelled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
+    tiles = tiles.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tiles = tiles.join(classes.select("node", "bands"), "node").join(texts, "node")
     more = staged(tile_links(tiles), "tile-links")
     joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
