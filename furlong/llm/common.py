@@ -40,9 +40,29 @@ def staged(rows: DataFrame, name: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/furlong-llm/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """A mark for ``settled``: how many tables have been staged so far."""
+    return len(_written)
+
+
+def settled(rows: DataFrame, name: str, since: int) -> DataFrame:
+    """Stages the rows and deletes the tables staged after the mark, which nothing needs any more."""
+    spark = rows.sparkSession
+    result = staged(rows, name)
+    for path in _written[since:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[since:-1]
+    return result
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Adds ``__maybe``: false only where the row's whole number ``column`` is surely none of ``keys``.
 
@@ -77,11 +97,32 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` over batches of bounded size."""
+def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` over batches of bounded size.
+
+    Workers are used again by later tasks; what they remember for other steps than ``keeps`` is dropped.
+    """
     ship(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return rows.mapInArrow(step, schema)
+
+    def run(batches):
+        forget(keeps)
+        yield from step(batches)
+
+    return rows.mapInArrow(run, schema)
+
+
+_remembered: dict[str, Callable] = {}
+
+
+def remember(name: str, clear: Callable) -> None:
+    """Names a table that a worker keeps between tasks, and how to drop it."""
+    _remembered[name] = clear
+
+
+def forget(but: str) -> None:
+    for name in [name for name in _remembered if name != but]:
+        _remembered.pop(name)()
 
 
 class Bounded(dict):

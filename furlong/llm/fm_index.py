@@ -24,6 +24,17 @@ def _minimum_table(values: np.ndarray) -> list[np.ndarray]:
     return table
 
 
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """The nearest place before each with a smaller value; 0 if there is none."""
+    out, stack = [], []
+    for place, value in enumerate(values.tolist()):
+        while stack and stack[-1][1] >= value:
+            stack.pop()
+        out.append(stack[-1][0] if stack else 0)
+        stack.append((place, value))
+    return np.array(out, np.int64)
+
+
 class BitVector:
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(np.concatenate([bits, np.zeros(64 - len(bits) % 64, bool)]), bitorder="little")
@@ -55,7 +66,9 @@ class FmIndex:
         symbols[ends] = np.arange(len(texts))
         order, rank = self._sort(symbols)
         tree = np.where(symbols < len(texts), 0, symbols - len(texts) + 1)
-        self.lcp = _minimum_table(self._lcp(symbols, order, rank))
+        self.lcp = self._lcp(symbols, order, rank)
+        self.smaller_before = _smaller_before(self.lcp)
+        self.smaller_after = len(self.lcp) - 1 - _smaller_before(self.lcp[::-1])[::-1]
         place = np.repeat(np.arange(len(texts)), lengths + 1)
         self.owner = _minimum_table(owners[place][order])
         self._wavelet(tree[order - 1])
@@ -121,21 +134,15 @@ class FmIndex:
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals and the length of what they match."""
-        size = np.maximum(self.lcp[0][low], self.lcp[0][high])
-        low, high = low.copy(), high.copy()
-        for p in range(len(self.lcp) - 1, -1, -1):
-            table, reach = self.lcp[p], 1 << p
-            start = low - reach + 1
-            go = start > 0
-            go[go] = table[start[go]] >= size[go]
-            low -= reach * go
-            go = high + reach <= self.size
-            go[go] = table[high[go]] >= size[go]
-            high += reach * go
-        return low, high, size
-
-    def matching_statistics(self, streams: list[np.ndarray], owners: np.ndarray) -> list[np.ndarray]:
-        """For every place of a stream of words, the longest match that starts there within texts of smaller owners."""
+        left, right = self.lcp[low], self.lcp[high]
+        size = np.maximum(left, right)
+        return np.where(left == size, self.smaller_before[low], low), np.where(right == size, self.smaller_after[high], high), size
+
+    def matching_statistics(self, streams: list[np.ndarray], owners: np.ndarray, least: int = 0) -> list[np.ndarray]:
+        """For every place of a stream of words, the longest match that starts there within texts of smaller owners.
+
+        A stream is left, with 0 for the rest, where no match of ``least`` words can begin any more.
+        """
         lengths = np.array([len(stream) for stream in streams])
         out = [np.zeros(length, np.int32) for length in lengths]
         by_length = np.argsort(-lengths, kind="stable")
@@ -151,7 +158,9 @@ class FmIndex:
         for place in range(width - 1, -1, -1):
             while alive and lengths[by_length[alive - 1]] < width - place:
                 alive -= 1
-            todo = by_length[:alive]
+            active = by_length[:alive]
+            active = active[size[active] + lengths[active] - (width - 1 - place) >= least]
+            todo = active
             strange = grid[todo, place] < 0
             reset = todo[strange]
             low[reset], high[reset], size[reset] = 0, self.size, 0
@@ -166,7 +175,7 @@ class FmIndex:
                 todo = todo[size[todo] > 0]  # those at the root have no match here
                 if len(todo):
                     low[todo], high[todo], size[todo] = self.parent(low[todo], high[todo])
-            result[by_length[:alive], place] = size[by_length[:alive]]
+            result[active, place] = size[active]
         for row, length in enumerate(lengths):
             out[row] = result[row, width - length :]
         return out

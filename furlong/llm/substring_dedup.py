@@ -37,14 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches, staged, words
+from furlong.llm.common import Bounded, map_batches, maybe_in, settled, staged, words, written
 from furlong.llm.fm_index import FmIndex
 
 WINDOW = 50
 GRAM = 8
 MOST = 128
 SHARD_WORDS = 150_000
-MEMO = 200_000
+MEMO = 400_000
+GROUP = 50_000
+PIECE = 50
+BASE = np.uint64(0xD1342543DE82EF95)
+UNBASE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 
 _random = np.random.default_rng(5050)
 _MIX = _random.integers(0, 1 << 63, WINDOW, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,18 +86,33 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
-def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, digest, first window and number of windows of each stretch of a document."""
+def prefix_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial hash and inverse powers, from which any part's hash follows."""
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), BASE)]))
+    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), UNBASE)]))
+    return np.concatenate([[np.uint64(0)], np.add.accumulate(hashes * powers[:-1])]), inverse
+
+
+def stretches(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Text number, anchor, digest, first window and number of windows of every stretch."""
+    sizes = np.array([len(text) for text in texts], np.int64)
+    hashes = np.concatenate(texts)
     if len(hashes) < WINDOW:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
+        return (np.empty(0, np.int64),) * 5
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(texts)), sizes)
     anchors = sliding_minimum(gram_hashes(hashes, GRAM), WINDOW - GRAM + 1)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(anchors)) + 1])
-    sizes = np.diff(np.concatenate([starts, [len(anchors)]]))
-    digests = np.array(
-        [xxhash.xxh3_64_intdigest(hashes[a : a + n + WINDOW - 1].tobytes()) for a, n in zip(starts.tolist(), sizes.tolist())], np.uint64
-    )
-    return anchors[starts].view(np.int64), digests.view(np.int64), starts, sizes
+    places = np.arange(len(anchors))
+    inside = places + WINDOW <= ends[text[: len(anchors)]]
+    begins = inside.copy()
+    begins[1:] &= (anchors[1:] != anchors[:-1]) | (text[1 : len(anchors)] != text[: len(anchors) - 1])
+    starts = np.flatnonzero(begins)
+    # A stretch ends before the next one or where its text has no more windows.
+    owners = text[starts]
+    stops = np.minimum(np.concatenate([starts[1:], [len(hashes)]]), ends[owners] - WINDOW + 1)
+    running, inverse = prefix_hashes(hashes)
+    digests = _stir((running[stops + WINDOW - 1] - running[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    return owners, anchors[starts].view(np.int64), digests.view(np.int64), starts - (ends - sizes)[owners], stops - starts
 
 
 STRETCH = "doc_id long, tkey long, anchor long, digest long, start int, n int"
@@ -105,57 +124,61 @@ def all_stretches(texts: DataFrame) -> DataFrame:
     def step(batches):
         memo = word_memo()
         for batch in batches:
-            for doc, key, text in zip(*(column.to_pylist() for column in batch.columns)):
-                anchors, digests, starts, sizes = stretches(word_hashes(text, memo))
-                if len(anchors):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(anchors), doc, np.int64)),
-                            pa.array(np.full(len(anchors), key, np.int64)),
-                            pa.array(anchors),
-                            pa.array(digests),
-                            pa.array(starts.astype(np.int32)),
-                            pa.array(sizes.astype(np.int32)),
-                        ],
-                        names,
-                    )
+            docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            done = 0
+            for group in in_groups(batch.column(2).to_pylist(), memo):
+                owners, anchors, digests, starts, sizes = stretches(group)
+                columns = [docs[done + owners], keys[done + owners], anchors, digests, starts.astype(np.int32), sizes.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names)
+                done += len(group)
 
     return map_batches(texts.select("doc_id", "tkey", "text"), step, STRETCH)
 
 
-CONTENT = "anchor long, doc_id long, tkey long, start int, hot boolean, words binary"
+def in_groups(texts: list[str | None], memo: Bounded) -> Iterator[list[np.ndarray]]:
+    """Word hashes of texts in groups of about ``GROUP`` words; a longer text is a group of its own."""
+    group, size = [], 0
+    for text in texts:
+        hashes = word_hashes(text, memo)
+        if group and size + len(hashes) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(hashes)
+        size += len(hashes)
+    if group:
+        yield group
+
+
+CONTENT = "anchor long, doc_id long, tkey long, start int, hot boolean, words binary, starts array<int>"
 
 
 def contents(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """The words of the stretches asked for; windows one by one for hot anchors (their hash as anchor)."""
+    """The words of the stretches asked for. For hot anchors, the windows: one row per text and hash, with all their places."""
     names = [part.split()[0] for part in CONTENT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32())]
     wanted = asked.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("asked"))
 
     def step(batches):
         memo = word_memo()
         for batch in batches:
+            out = []
             for doc, key, rows, text in zip(*(column.to_pylist() for column in batch.columns)):
                 hashes = word_hashes(text, memo)
-                out = []
                 grams = gram_hashes(hashes, WINDOW).view(np.int64) if any(row["hot"] for row in rows) else None
+                windows: dict[int, list[int]] = {}
                 for row in rows:
+                    start, n = row["start"], row["n"]
                     if row["hot"]:
-                        out += [(int(grams[at]), at, True, None) for at in range(row["start"], row["start"] + row["n"])]
+                        for at in range(start, start + n):
+                            windows.setdefault(int(grams[at]), []).append(at)
                     else:
-                        out.append((row["anchor"], row["start"], False, hashes[row["start"] : row["start"] + row["n"] + WINDOW - 1].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row[0] for row in out], pa.int64()),
-                        pa.array([doc] * len(out), pa.int64()),
-                        pa.array([key] * len(out), pa.int64()),
-                        pa.array([row[1] for row in out], pa.int32()),
-                        pa.array([row[2] for row in out], pa.bool_()),
-                        pa.array([row[3] for row in out], pa.binary()),
-                    ],
-                    names,
-                )
-
-    met = wanted.join(texts, ["doc_id", "tkey"]).select("doc_id", "tkey", "asked", "text")
+                        out.append((row["anchor"], doc, key, start, False, hashes[start : start + n + WINDOW - 1].tobytes(), None))
+                out += [(window, doc, key, None, True, None, starts) for window, starts in windows.items()]
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds)], names)
+
+    likely = maybe_in(texts, wanted, "doc_id").filter("__maybe").drop("__maybe")
+    met = likely.join(wanted.hint("merge"), ["doc_id", "tkey"]).select("doc_id", "tkey", "asked", "text")
     return map_batches(met, step, CONTENT)
 
 
@@ -174,9 +197,14 @@ def shard_spans(shards: DataFrame) -> DataFrame:
     def search(rows: list) -> Iterator[pa.RecordBatch]:
         texts = [row[4] for row in rows]
         owners = np.array([row[1] for row in rows], np.int64)
+        # Long stretches are streamed in pieces that overlap by one window less a word.
+        pieces = [(i, at) for i, text in enumerate(texts) for at in range(0, len(text) - WINDOW + 1, PIECE)]
+        streams = [texts[i][at : at + PIECE + WINDOW - 1] for i, at in pieces]
+        whose = owners[[i for i, _ in pieces]]
         found = []
-        for row, longest in zip(rows, FmIndex(texts, owners).matching_statistics(texts, owners)):
-            found += [(row[1], row[2], row[3] + at, n) for at, n in runs(longest >= WINDOW)]
+        for (i, at), longest in zip(pieces, FmIndex(texts, owners).matching_statistics(streams, whose, WINDOW)):
+            _, doc, key, start, _ = rows[i]
+            found += [(doc, key, start + at + first, n) for first, n in runs(longest >= WINDOW)]
         if found:
             columns = list(zip(*found))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -200,14 +228,13 @@ def shard_spans(shards: DataFrame) -> DataFrame:
 
 
 def covered_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``tkey`` (hash of the text), ``start``, ``n``: windows whose words also start in a smaller id.
+    """``doc_id``, ``tkey`` (hash of the text), ``spans`` (start, n): windows whose words also start in a smaller id.
 
     Documents whose text a smaller id has are left to the caller.
     """
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), "text")
     first = rows.groupBy("tkey").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(first, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
     found = staged(all_stretches(rows), "stretches").join(first, ["doc_id", "tkey"], "left_semi")
 
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("digest").alias("low"), F.max("digest").alias("high"))
@@ -217,15 +244,46 @@ def covered_windows(docs: DataFrame) -> DataFrame:
     variety = groups.filter("several").groupBy("anchor").agg((F.count("*") > MOST).alias("hot"))
     groups = groups.join(variety, "anchor", "left").filter("c > 1 or several").select("anchor", "digest", "first", "hot")
     known = staged(shared.join(groups, ["anchor", "digest"]), "known")
-    whole = known.filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey", "start", "n")
+    one_span = F.array(F.struct("start", "n")).alias("spans")
+    whole = known.filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey", one_span)
 
     asked = known.filter(F.col("several") & (F.col("doc_id") == F.col("first"))).select("doc_id", "tkey", "anchor", "start", "n", "hot")
-    pieces = staged(contents(asked, texts), "contents")
-    searched = shard_spans(pieces.filter(~F.col("hot")))
+    pieces = staged(contents(asked, rows), "contents")
+    searched = shard_spans(pieces.filter(~F.col("hot"))).select("doc_id", "tkey", one_span)
     hot = pieces.filter("hot")
     earliest = hot.groupBy("anchor").agg(F.min("doc_id").alias("first"))
     single = hot.join(earliest, "anchor").filter(F.col("doc_id") > F.col("first"))
-    return whole.unionByName(searched).unionByName(single.select("doc_id", "tkey", "start", F.lit(1).alias("n")))
+    single = single.select("doc_id", "tkey", F.transform("starts", lambda at: F.struct(at.alias("start"), F.lit(1).alias("n"))).alias("spans"))
+    return whole.unionByName(searched).unionByName(single)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows with ``__copy`` (a smaller id has the same text) and ``__spans`` (covered windows)."""
+    rows, mark = docs.withColumn("__key", F.xxhash64("text")), written()
+    spans = covered_windows(docs).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    known = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("tkey"))
+    first = known.groupBy("tkey").agg(F.min("doc_id").alias("first"))
+    copies = known.join(first, "tkey").filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey").distinct()
+    marks = copies.withColumn("__copy", F.lit(True)).join(spans, ["doc_id", "tkey"], "full")
+    marks = settled(marks.withColumnsRenamed({"doc_id": "__doc", "tkey": "__tkey"}), "marks", mark)
+    # Rows that surely have no mark stay where they are; only the others meet the marks.
+    split = maybe_in(rows, marks.select(F.col("__doc").alias("doc_id")), "doc_id")
+    on = (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__tkey"))
+    met = split.filter("__maybe").join(marks.hint("merge"), on, "left").select(*docs.columns, "__copy", "__spans")
+    bare = {"__copy": F.lit(None).cast("boolean"), "__spans": F.lit(None).cast(marks.schema["__spans"].dataType)}
+    return met.unionByName(split.filter("not __maybe").select(*docs.columns, *[value.alias(name) for name, value in bare.items()]))
+
+
+def cut(text: str | None, copy: bool | None, spans: list[dict] | None) -> tuple[list[bytes], list[bytes]]:
+    """The words of a text and those that stay."""
+    own = words(text)
+    if not copy and not spans:
+        return own, own
+    gone = np.full(len(own), bool(copy and len(own) >= WINDOW))
+    for span in spans or ():
+        gone[span["start"] : span["start"] + span["n"] + WINDOW - 1] = True
+    return own, [own[i] for i in np.flatnonzero(~gone).tolist()]
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
@@ -233,30 +291,46 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by a space) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey"))
-    spans = covered_windows(docs).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    first = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy("tkey").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(first, "tkey").filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey").distinct()
-    marks = copies.withColumn("copy", F.lit(True)).join(spans, ["doc_id", "tkey"], "full")
-    met = rows.join(marks, ["doc_id", "tkey"], "left").select("doc_id", "text", "copy", "spans")
     names = [part.split()[0] for part in RESULT.split(", ")]
 
     def step(batches):
         for batch in batches:
-            sizes, removed, kept = [], [], []
-            for text, copy, found in zip(*(column.to_pylist() for column in batch.columns[1:])):
-                own = words(text)
-                gone = np.zeros(len(own), bool)
-                if copy and len(own) >= WINDOW:
-                    gone[:] = True
-                for span in found or ():
-                    gone[span["start"] : span["start"] + span["n"] + WINDOW - 1] = True
-                rest = [own[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else own
-                sizes.append(len(own))
-                removed.append(len(own) - len(rest))
-                kept.append(b" ".join(rest).decode())
+            found = [cut(*row) for row in zip(*(column.to_pylist() for column in batch.columns[1:]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names
+                [
+                    batch.column(0),
+                    pa.array([len(own) for own, _ in found], pa.int64()),
+                    pa.array([len(own) - len(kept) for own, kept in found], pa.int64()),
+                    pa.array([b" ".join(kept).decode() for _, kept in found], pa.string()),
+                ],
+                names,
             )
 
-    return map_batches(met, step, RESULT)
+    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return map_batches(rows.select("doc_id", "text", "__copy", "__spans"), step, RESULT)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows with what repeats taken out of ``text``, and ``n_chars`` to match; rows of which nothing is left go.
+
+    A text of which nothing is removed stays as it is, white space included.
+    """
+    rows = marked(docs)
+    at = {name: docs.columns.index(name) for name in ("text", "n_chars")}
+    width = len(docs.columns)
+
+    def step(batches):
+        for batch in batches:
+            texts, keep = [], []
+            for text, copy, spans in zip(*(batch.column(i).to_pylist() for i in (at["text"], width, width + 1))):
+                own, kept = cut(text, copy, spans)
+                changed = len(kept) < len(own)
+                texts.append(b" ".join(kept).decode() if changed else text)
+                keep.append(bool(kept or not changed))
+            columns = list(batch.columns[:width])
+            columns[at["text"]] = pa.array(texts, columns[at["text"]].type)
+            columns[at["n_chars"]] = pa.array([None if text is None else len(text) for text in texts], columns[at["n_chars"]].type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names).filter(pa.array(keep, pa.bool_()))
+
+    docs_names = docs.columns
+    return map_batches(rows, step, docs.schema)
