@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches
+from furlong.llm.common import Bounded, map_batches, remember
 
 # Entries kept by the tables of a worker; they start anew when full.
-PIECES = 400_000
+PIECES = 300_000
 MOVES = 150_000
 PAIRS = 150_000
 NEVER = 1 << 62
@@ -46,7 +46,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
+        # What a string can be: 1 a token, 2 the opening of a longer one, 3 both.
+        self.kinds = dict.fromkeys((token[:n] for token in ranks for n in range(1, len(token))), 2)
+        for token in ranks:
+            self.kinds[token] = self.kinds.get(token, 0) | 1
         self.edges = Bounded(self._edges, len(ranks) + 1)
         self.fits = Bounded(self._fits, PAIRS)
         self._forget()
@@ -105,7 +108,7 @@ class Transducer:
                 if not left or self.fits[left, token]:
                     live = live | {end: (*before, token)}
                     break
-        live = {at: tokens for at, tokens in live.items() if at == end or seen[at:] in self.openings}
+        live = {at: tokens for at, tokens in live.items() if at == end or self.kinds.get(seen[at:], 0) & 2}
         paths = list(live.values())
         agreed = 0
         while all(len(path) > agreed and path[agreed] == paths[0][agreed] for path in paths):
@@ -125,22 +128,28 @@ class Transducer:
     def _rest(self, state: int, rest: bytes) -> list[int]:
         """The ids to the end of the piece, without making states: all live boundaries are followed at once."""
         last, seen, live = self.states[state]
-        raw, paths = seen + rest, list(live.items())
-        ranks, openings, fits, edges = self.ranks, self.openings, self.fits, self.edges
+        raw = seen + rest
+        # A path is where it stands, its last token, and the tokens before as nested pairs.
+        paths = [(at, tokens[-1] if tokens else last, functools.reduce(lambda x, y: (x, y), tokens, None)) for at, tokens in live.items()]
+        kinds, fits, edges = self.kinds, self.fits, self.edges
         for end in range(len(seen) + 1, len(raw) + 1):
             following, found = [], None
             for path in paths:
                 token = raw[path[0] : end]
-                if found is None and token in ranks and edges[token][0]:
-                    left = path[1][-1] if path[1] else last
-                    if not left or fits[left, token]:
-                        found = end, (*path[1], token)
-                if token in openings:
-                    following.append(path)
+                kind = kinds.get(token)
+                if kind:
+                    if kind & 1 and found is None and edges[token][0] and (not path[1] or fits[path[1], token]):
+                        found = end, token, (path[2], token)
+                    if kind & 2:
+                        following.append(path)
             if found:
                 following.append(found)
             paths = following
-        return [ranks[token] for token in paths[-1][1]]
+        out, tokens = [], paths[-1][2]
+        while tokens:
+            tokens, token = tokens
+            out.append(self.ranks[token])
+        return out[::-1]
 
     def run(self, raw: bytes) -> list[int]:
         """The ids of a piece; each is written as soon as it is certain.
@@ -208,20 +217,39 @@ def decode_stream(ids: Iterable[int], text: dict[int, bytes]) -> Iterator[str]:
 
 @functools.cache
 def tokenizer(path: str, pattern: str):
-    """A worker's transducer, its table of pieces and its pattern."""
-    transducer = Transducer(read_ranks(path))
+    """A worker's encoder: a function from a text to its ids as bytes."""
+    remember("bpe", tokenizer.cache_clear)
+    transducer, cut = Transducer(read_ranks(path)), regex.compile(pattern)
 
     def ids(piece: str) -> bytes:
         found = transducer.run(piece.encode())
         return struct.pack(f"<{len(found)}I", *found)
 
-    return transducer, Bounded(ids, PIECES), regex.compile(pattern)
+    pieces = Bounded(ids, PIECES)
+    # What follows a single space, up to the next one. No piece crosses a space before a character that is no
+    # white space, so texts without other spaces are cut there first, and most words are looked up at once.
+    spaced = Bounded(lambda word: b"".join(map(pieces.__getitem__, cut.findall(" " + word))), PIECES)
+
+    def encode(text: str) -> bytes:
+        if _LOOSE_SPACE.search(text) or not pattern_cuts_at_spaces(pattern):
+            return b"".join(map(pieces.__getitem__, cut.findall(text)))
+        first, *others = text.split(" ")
+        return b"".join([*map(pieces.__getitem__, cut.findall(first)), *map(spaced.__getitem__, others)])
+
+    return encode
+
+
+_LOOSE_SPACE = regex.compile(r" (?:\s|$)")
+
+
+def pattern_cuts_at_spaces(pattern: str) -> bool:
+    """Whether every alternative that takes a space takes it as an optional first character, as in `` ?letters``."""
+    return pattern.endswith(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def encode_text(text: str | None, path: str, pattern: str) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    _, pieces, cut = tokenizer(path, pattern)
-    return b"".join(map(pieces.__getitem__, cut.findall(text or "")))
+    return tokenizer(path, pattern)(text) if text else b""
 
 
 @functools.cache
@@ -244,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [encode_text(text, path, pattern) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, ids binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, ids binary", keeps="bpe")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -255,4 +283,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [decode_ids(ids or b"", path) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), step, "doc_id long, ids binary, text string")
+    return map_batches(encoded.select("doc_id", "ids"), step, "doc_id long, ids binary, text string", keeps="bpe")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from furlong.llm.common import staged, word_array
+from furlong.llm.common import settled, staged, word_array, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -117,6 +117,7 @@ def offsets(sized: DataFrame, n_docs: int) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken`` of every row."""
+    mark = written()
     sized = staged(sizes(docs), "sizes")
     goals = staged(targets(sized), "targets")
     whole = sized.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -142,4 +143,4 @@ def mix(docs: DataFrame) -> DataFrame:
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     filled = placed.filter("size > 0").join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     names = ["doc_id", "text_key", "source", "size", "source_size", "target", "taken"]
-    return filled.select(names).unionByName(empty.select(names))
+    return settled(filled.select(names).unionByName(empty.select(names)), "mixed", mark)

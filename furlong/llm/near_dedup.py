@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches, maybe_in, staged, words
+from furlong.llm.common import Bounded, map_batches, maybe_in, settled, staged, words, written
 from furlong.llm.components import components
 
 SHINGLE = 3
@@ -175,6 +175,7 @@ def tile_links(tiles: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
+    mark = written()
     signed = staged(signatures(docs), "signatures").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     full = signed.filter(F.col("digest").isNotNull())
     classes = full.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
@@ -221,4 +222,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
     named = named.select("doc_id", "n_shingles", component.alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return settled(named.withColumn("kept", kept), "near-duplicates", mark)
