@@ -19,9 +19,11 @@ all bands with a probability of 4e-7.
 4. The links of step 3 join the components.
 
 Texts that are null or have no word have an empty set and no link. Rows of one
-id are one document: what links to one of them links to the id. A null id takes
-part but never names a component; alone it has none and is kept. Empty tables
-give no rows. Other columns are not looked at.
+id are one document: what links to one of them links to the id. A row without an
+id is a document of its own, known by a hash of its text (62 bits, below ``RESERVED``).
+It takes part but names a component only where no row has an id; then all are
+kept. Without an id and a set there is no component. Empty tables give no rows.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm.common import Bounded, map_batches, maybe_in, settled, staged, words, written
@@ -40,7 +42,7 @@ PERCENT = 85
 HASHES, BANDS, ROWS = 64, 25, 5
 BLOCK = 256
 MEMO = 200_000
-NO_ID = (1 << 63) - 1
+RESERVED = -(1 << 62)
 
 _random = np.random.default_rng(20240)
 _FACTORS = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,8 +101,13 @@ def similar(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (small + large - common)
 
 
+def node_id() -> Column:
+    """The id of a row's document; without one, the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), RESERVED - 1 - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of the set and its ``bands`` (null for an empty set)."""
+    """``doc_id``, ``n_shingles``, ``digest`` of the set, its ``bands`` (null for an empty set) and ``id``, see ``node_id``."""
 
     def step(batches):
         memo = word_memo()
@@ -112,12 +119,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bands.append(band_keys(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)],
+                ["doc_id", "n_shingles", "digest", "bands", "id"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, step, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", node_id().alias("id"))
+    return map_batches(rows, step, "doc_id long, n_shingles long, digest binary, bands array<long>, id long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -176,9 +183,10 @@ def tile_links(tiles: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
     mark = written()
-    signed = staged(signatures(docs), "signatures").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    signed = staged(signatures(docs), "signatures")
     full = signed.filter(F.col("digest").isNotNull())
-    classes = full.groupBy("digest").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"))
+    node = F.coalesce(F.min("doc_id"), F.min("id"))
+    classes = full.groupBy("digest").agg(node.alias("node"), F.min("doc_id").alias("name"), F.min_by("bands", "id").alias("bands"))
     classes = staged(classes, "classes")
 
     # Buckets of two or more classes.
@@ -188,13 +196,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = staged(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text").filter(F.col("text").isNotNull())
+    rows = docs.select(node_id().alias("node"), F.col("doc_id").isNotNull().alias("named"), "text").filter(F.col("text").isNotNull())
     likely = maybe_in(rows, asked, "node").filter("__maybe").drop("__maybe")
+    # Rows without an id have the same node if they have the same text; one of them is enough.
+    likely = likely.filter("named").unionByName(likely.filter("not named").dropDuplicates(["node"])).drop("named")
     texts = staged(likely.join(asked.hint("merge"), "node"), "candidates")
     links = staged(confirmed(pairs, texts), "confirmed")
     # Different sets under one id are one document.
-    of_class = full.select("id", "digest").join(classes.select("digest", "node"), "digest")
-    ids = of_class.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
+    of_class = full.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
+    of_class = of_class.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
+    ids = of_class.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).filter("a < b")
     found = components(links.unionByName(ids))
 
     # Buckets that still hold several components. Members outside the head's component meet everyone.
@@ -218,9 +229,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = final.distinct().join(joined, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     final = final.groupBy("node").agg(F.min("component").alias("component"))
 
-    named = signed.join(classes.select("digest", "node"), "digest", "left").withColumn("node", F.coalesce("node", "id"))
-    named = named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    component = F.when(F.col("component") < NO_ID, F.col("component"))
-    named = named.select("doc_id", "n_shingles", component.alias("component_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return settled(named.withColumn("kept", kept), "near-duplicates", mark)
+    # The smallest id of a component names it, whatever its label is.
+    labels = classes.select("digest", "node", "name").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = labels.groupBy("component").agg(F.min("name").alias("name"), F.min("node").alias("least"))
+    labels = staged(labels.drop("name").join(names, "component").select("digest", "name", "least"), "names")
+    named = full.join(labels, "digest").select("doc_id", "n_shingles", F.coalesce("name", "least").alias("component_id"), "name")
+    # Rows with an empty set belong to what their id has otherwise.
+    empty = signed.filter(F.col("digest").isNull())
+    others = full.select("doc_id", "digest").join(empty.select("doc_id").distinct(), "doc_id").join(labels, "digest")
+    others = others.groupBy("doc_id").agg(F.min("name").alias("name"))
+    empty = empty.join(others, "doc_id", "left").withColumn("name", F.coalesce("name", "doc_id"))
+    rows = named.unionByName(empty.select("doc_id", "n_shingles", F.col("name").alias("component_id"), "name"))
+    rows = rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("name"), F.col("name").isNull())).drop("name")
+    return settled(rows, "near-duplicates", mark)

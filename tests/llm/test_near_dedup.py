@@ -77,3 +77,23 @@ def test_signature_estimates_without_bias():
         same = (near_dedup.signature(left) == near_dedup.signature(right)).mean()
         off.append(same - 200 / 300)
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.07
+
+
+def test_null_ids_link_nothing_but_their_own_texts(documents):
+    """Unrelated documents whose copies lack an id stay apart."""
+    one, two, three = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    docs = documents([(1, one), (2, two), (None, one), (None, two), (None, three), (None, three), (None, "v w x y"), (3, None)])
+    found = near_dedup.near_duplicates(docs).collect()
+    named = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found if (r["component_id"] or 0) > 0}
+    assert named == {(1, 5, 1, True), (2, 5, 2, True), (None, 5, 1, False), (None, 5, 2, False), (3, 0, 3, True)}
+    others = sorted((r["n_shingles"], r["component_id"]) for r in found if r["component_id"] < 0 and r["kept"])
+    assert [n for n, _ in others] == [2, 5, 5] and others[0][1] != others[1][1] == others[2][1]
+    assert len(found) == 8
+
+
+def test_all_texts_of_an_id_are_linked(documents):
+    """One id with three texts, each of which a smaller id has too, and with none."""
+    texts = ["a b c d e", "f g h i j", "k l m n o"]
+    docs = documents([(5, texts[0]), (7, texts[1]), (9, texts[2]), *[(20, text) for text in texts], (20, ""), (30, "p q r s t")])
+    found = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {(5, 5), (7, 5), (9, 5), (20, 5), (30, 30)}
