@@ -267,13 +267,13 @@ def fit(passages: list[tuple[str, list[str]]], seed: int = 7) -> Model:
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, list[str]]]:
-    """Passages of a bounded number of documents per language, chosen by a hash of the text."""
+    """Passages of a bounded number of documents per language, chosen by a hash of the text; copies count as one."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    # Only hashes are ranked; each task sends at most SAMPLE of them per language.
-    chosen = rows.select("lang", "h").withColumn("place", place).filter(F.col("place") <= SAMPLE)
-    chosen = chosen.join(F.broadcast(common), "lang").select("lang", "h").distinct()
+    # Only hashes of different texts are ranked; each task sends at most SAMPLE of them per language.
+    chosen = rows.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= SAMPLE)
+    chosen = chosen.join(F.broadcast(common), "lang").select("lang", "h")
     found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def step(batches):

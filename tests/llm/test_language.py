@@ -70,3 +70,10 @@ def test_texts_without_letters(spark, documents):
     assert language.predict(docs.limit(0), model).count() == 0
     nothing = language.identify(docs, F.lit(False)).collect()
     assert {row["lang_pred"] for row in nothing} == {"und"}
+
+
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [("aa", f"word number {'abcdefghijklmnop'[i]} and more") for i in range(16) for _ in range(30)]
+    found = language.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert len({tuple(words) for _, words in found}) == 16
