@@ -9,8 +9,8 @@ sequences are spliced from passages of several; the model learns both how words
 look and how rarely the language changes.
 
 Learning reads a bounded sample (``SAMPLE`` documents per language, ``PASSAGES``
-passages of ``PASSAGE`` words from each, spread over the text; the ``LANGUAGES``
-most frequent values). Prediction reads every word of every text: all words of
+passages of ``PASSAGE`` words from each, spread over the text) of every
+language there is. Prediction reads every word of every text: all words of
 a batch form one chain that restarts at each document. Forward-backward runs
 over blocks of the chain at once - first the product of each block's steps,
 then the blocks in order, then inside all blocks - which is exact and takes
@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 from furlong.llm.common import map_batches
 
 UNKNOWN = "und"
-LANGUAGES = 32
 SAMPLE = 300
 PASSAGE, PASSAGES = 40, 4
 FEATURES = 1 << 16
 LEXICON = 20_000
 SEQUENCE, SEQUENCES = 60, 1600
+# With more labels than this, training sequences grow with the labels.
+LABELS = 32
 EPOCHS, BATCH, RATE = 5, 80, 0.05
 BLOCK = 64
 VOCABULARY = 300_000
@@ -220,8 +221,9 @@ def fit(passages: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     order = np.argsort(owners, kind="stable")
     found, ends = found[order], np.searchsorted(owners[order], np.arange(len(vocabulary) + 1))
 
-    tokens, truth = np.empty((SEQUENCES, SEQUENCE), np.int64), np.empty((SEQUENCES, SEQUENCE), np.int64)
-    for s in range(SEQUENCES):
+    sequences = SEQUENCES * -(-size // LABELS)
+    tokens, truth = np.empty((sequences, SEQUENCE), np.int64), np.empty((sequences, SEQUENCE), np.int64)
+    for s in range(sequences):
         at = 0
         while at < SEQUENCE:
             label = int(random.integers(size))
@@ -239,8 +241,8 @@ def fit(passages: list[tuple[str, list[str]]], seed: int = 7) -> Model:
     means, squares = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     rounds = 0
     for epoch in range(EPOCHS):
-        shuffled = random.permutation(SEQUENCES)
-        for low in range(0, SEQUENCES, BATCH):
+        shuffled = random.permutation(sequences)
+        for low in range(0, sequences, BATCH):
             chosen = shuffled[low : low + BATCH]
             flat = tokens[chosen].ravel()
             sizes = ends[flat + 1] - ends[flat]
@@ -269,11 +271,10 @@ def fit(passages: list[tuple[str, list[str]]], seed: int = 7) -> Model:
 def sample(labelled: DataFrame) -> list[tuple[str, list[str]]]:
     """Passages of a bounded number of documents per language, chosen by a hash of the text; copies count as one."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     # Only hashes of different texts are ranked; each task sends at most SAMPLE of them per language.
     chosen = rows.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= SAMPLE)
-    chosen = chosen.join(F.broadcast(common), "lang").select("lang", "h")
+    chosen = chosen.select("lang", "h")
     found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def step(batches):

@@ -77,3 +77,20 @@ def test_copies_do_not_fill_the_sample(spark, monkeypatch):
     rows = [("aa", f"word number {'abcdefghijklmnop'[i]} and more") for i in range(16) for _ in range(30)]
     found = language.sample(spark.createDataFrame(rows, "lang string, text string"))
     assert len({tuple(words) for _, words in found}) == 16
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 32, the last ones with the fewest rows."""
+    random.seed(4)
+    parts = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    rows = []
+    for k in range(40):
+        own = ["".join(random.choices(parts[k : k + 3], k=3)) + "xyzw"[k % 4] for _ in range(30)]
+        rows += [(f"l{k:02}", " ".join(random.choices(own, k=40))) for _ in range(44 - k)]
+    passages = language.sample(spark.createDataFrame(rows, "lang string, text string"))
+    model = language.fit(passages)
+    assert len(model.labels) == 40
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert sum(found[i] == lang for i, (lang, _) in enumerate(rows)) >= 0.95 * len(rows)
+    assert all(found[i] == lang for i, (lang, _) in enumerate(rows) if lang == "l39")
