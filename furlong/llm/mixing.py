@@ -115,9 +115,15 @@ def offsets(sized: DataFrame, n_docs: int) -> DataFrame:
     return rows.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("key", "bucket", "before", "upto")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken`` of every row."""
-    mark = written()
+def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mixture, and every row of the documents with its place in the stream of its source.
+
+    A row of the mixture is what one block takes of one round of a document:
+    ``place`` (of the block; slots in order, then added blocks), ``slot`` (null for an added block),
+    ``rank`` (of the block in its source), ``sid``, ``source``, ``start``, ``at`` (in the stream),
+    ``doc_id``, ``text_key``, ``from_word`` and ``to_word`` (of the document, end exclusive).
+    Ordered by ``place`` and ``at``, the rows are the mixed corpus.
+    """
     sized = staged(sizes(docs), "sizes")
     goals = staged(targets(sized), "targets")
     whole = sized.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -131,14 +137,29 @@ def mix(docs: DataFrame) -> DataFrame:
     numbered = numbered.select("doc_id", "text_key", F.col("own").alias("source"), "size", "sid", "source_size", "target", "goal")
     placed = staged(offsets(numbered, whole["docs"]), "offsets")
 
-    pieces = placed.filter("size > 0").select("sid", "start", "size", "source_size", "goal", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
+    pieces = placed.filter("size > 0").select("sid", "start", "size", "source_size", "goal", "source", "doc_id", "text_key", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
     pieces = pieces.withColumn("from", F.col("round") * F.col("source_size") + F.col("start"))
     pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("goal"))).filter(F.col("from") < F.col("to"))
     first, last = F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)
-    pieces = pieces.select("sid", "start", "from", "to", F.explode(F.sequence(first, last)).alias("rank"))
-    within = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
-    taken = pieces.join(schedule(goals, block, n_slots), ["sid", "rank"])
-    taken = taken.groupBy("sid", "start").agg(F.sum(within).alias("taken"))
+    pieces = pieces.withColumn("rank", F.explode(F.sequence(first, last)))
+    at, end = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
+    # Added blocks follow all slots, rank by rank and source by source.
+    added = n_slots + F.col("rank") * n_sources + F.col("sid")
+    rows = pieces.join(schedule(goals, block, n_slots), ["sid", "rank"])
+    rows = rows.withColumn("at", at).withColumn("place", F.coalesce("slot", added))
+    words = [(F.col("at") - F.col("from")).alias("from_word"), (end - F.col("from")).alias("to_word")]
+    names = ["place", "slot", "rank", "sid", "source", "start", "at", "doc_id", "text_key"]
+    return rows.select(*names, *words), placed
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_key`` (hash of the text), ``source``, ``size``, ``source_size``, ``target``, ``taken`` of every row.
+
+    What is taken of a document is the sum of its rows in the mixture.
+    """
+    mark = written()
+    rows, placed = mixture(docs)
+    taken = rows.groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     # A document with words has its place in the stream to itself.
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     filled = placed.filter("size > 0").join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))

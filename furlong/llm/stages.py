@@ -37,16 +37,23 @@ def substrings(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """As many copies of a document as the mix takes; what is left over are its first words."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"))
-    taken = taken.agg(F.max("size").alias("m_size"), F.sum("taken").alias("m_taken")).filter("m_taken > 0")
-    rows = docs.withColumn("m_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "m_text_key"])
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_text_key") == F.col("m_key")))
-    whole, rest = F.floor(F.col("m_taken") / F.col("m_size")), F.col("m_taken") % F.col("m_size")
-    rows = rows.withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(rest > 0, 1).otherwise(0))))
-    part = F.array_join(F.slice(word_array(F.col("text")), F.lit(1), rest.cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("m_copy") <= whole, F.col("text")).otherwise(part))
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """The mixed corpus: copies of documents as the blocks take them, in the order of the schedule.
+
+    A copy of a document (a round of its source) stands where the block stands that takes its first word; what a
+    later block takes of it follows it, so no text is cut at a block's edge. The last copy may end early, at the goal.
+    """
+    rows, _ = mixing.mixture(docs)
+    first = F.min(F.struct("rank", "place", "at"))
+    copies = rows.withColumn("m_begin", F.col("at") - F.col("from_word")).groupBy("sid", "m_begin")
+    copies = copies.agg(first.alias("m_first"), F.max("to_word").alias("m_words"), F.first("doc_id").alias("m_id"), F.first("text_key").alias("m_key"))
+    copies = copies.select("m_id", "m_key", "m_words", F.col("m_first.place").alias("m_place"), F.col("m_first.at").alias("m_at"))
+    texts = docs.withColumn("m_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "m_text_key"])
+    texts = texts.join(copies, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_text_key") == F.col("m_key")))
+    words = word_array(F.col("text"))
+    part = F.array_join(F.slice(words, F.lit(1), F.col("m_words").cast("int")), " ")
+    texts = texts.withColumn("text", F.when(F.size(words) == F.col("m_words"), F.col("text")).otherwise(part))
+    texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return texts.orderBy("m_place", "m_at").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -70,3 +70,42 @@ def test_schedule_is_even(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_the_mixture_is_interleaved(spark):
+    """Slots hold one block each, blocks have equal words, sources alternate, and the words are those of the streams."""
+    random.seed(6)
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(random.randint(0, 50))), "abc"[i % 3]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted((r.asDict() for r in mixing.mixture(docs)[0].collect()), key=lambda r: (r["place"], r["at"]))
+    texts = {i: text.split() for i, text, _ in rows}
+    blocks, streams = {}, {}
+    for r in found:
+        assert 0 <= r["from_word"] < r["to_word"] <= len(texts[r["doc_id"]])
+        blocks.setdefault(r["place"], []).append(r)
+    for place, own in blocks.items():
+        assert len({(r["source"], r["rank"], r["slot"]) for r in own}) == 1 and own[0]["slot"] in (place, None)
+    order = [own[0]["source"] for own in blocks.values()]
+    sizes = [sum(r["to_word"] - r["from_word"] for r in own) for own in blocks.values()]
+    last = {source: place for place, source in enumerate(order)}
+    assert len({n for place, n in enumerate(sizes) if place not in last.values()}) == 1
+    # Any long run of slots holds the sources by their weights.
+    window = [order[at : at + 160] for at in range(0, len(order) // 2, 40)]
+    assert all(abs(part.count("a") - 100) < 12 and abs(part.count("b") - 40) < 12 for part in window)
+    for r in sorted(found, key=lambda r: (r["source"], r["at"])):
+        streams.setdefault(r["source"], []).extend(texts[r["doc_id"]][r["from_word"] : r["to_word"]])
+    for source, words in streams.items():
+        own = sorted((i for i, _, s in rows if s == source), key=lambda i: hashlib.md5(f"mix:{i}".encode()).hexdigest())
+        endless = [word for i in own for word in texts[i]] * 3
+        assert words == endless[: len(words)]
+
+
+def test_the_stage_emits_texts_in_the_order_of_the_schedule(spark):
+    from furlong.llm import stages
+
+    rows = [(i, " ".join(f"{i}.{k}" for k in range(i % 7 + 3)), "abc"[i % 3], 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    found = [(r["doc_id"], r["text"]) for r in stages.mixture(spark, docs, "").collect()]
+    mixed = sorted((tuple(r) for r in mixing.mixture(docs)[0].select("place", "at", "doc_id", "from_word").collect()))
+    assert [doc for doc, _ in found] == [doc for _, _, doc, start in mixed if start == 0]
+    assert all(text for _, text in found)
