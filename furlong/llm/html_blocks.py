@@ -1,7 +1,10 @@
 """Leaf text blocks of an HTML page, in page order, with the path of tags above each.
 
 Markup, comments, scripts, styles and other content that no reader sees are left
-out. Block-level tags end a block; inline tags and ``br`` do not. Tags that HTML
+out. Only scripts, styles, ``textarea``, ``title`` and comments run to the end
+of the page if nothing ends them. ``noscript``, ``template`` and ``iframe`` are
+left out up to their end tag, if there is one; ``svg`` and ``select`` also end
+before a block-level tag. ``math`` and ``object`` are read like inline tags. Block-level tags end a block; inline tags and ``br`` do not. Tags that HTML
 closes by itself (``p``, ``li``, table cells ...) are closed here too, and end
 tags without a start are ignored, so broken pages give blocks as well.
 """
@@ -14,7 +17,7 @@ from typing import NamedTuple
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
     re.S | re.I,
 )
@@ -25,6 +28,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html head legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HIDDEN = frozenset("noscript template iframe".split())
+FOREIGN = frozenset("svg select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # An opening tag closes an open one of these, down to the nearest of the stops.
 CLOSES = {
@@ -37,6 +42,31 @@ CLOSES = {
 }
 
 
+# Start and end tags of a name that is left out, and what else ends it.
+_TAGS = {
+    name: re.compile(
+        rf"<(?P<end>/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>" + (rf"|(?P<block></?(?:{'|'.join(BLOCKS - {'hr'})})(?=[\s/>]))" if name in FOREIGN else ""),
+        re.I,
+    )
+    for name in HIDDEN | FOREIGN
+}
+
+
+def _left_out(page: str, name: str, at: int) -> int:
+    """Where the content ends that begins at ``at``, at the last end tag if some lack theirs; -1 if nothing ends it."""
+    depth, last = 1, -1
+    for tag in _TAGS[name].finditer(page, at):
+        if name in FOREIGN and tag["block"]:
+            return tag.start()
+        if tag["end"]:
+            depth, last = depth - 1, tag.end()
+            if not depth:
+                return last
+        elif name in ("svg", "template") and not tag[0].endswith("/>"):
+            depth += 1
+    return last
+
+
 class Node(NamedTuple):
     name: str
     tokens: tuple[str, ...]  # parts of class, id and role
@@ -93,7 +123,8 @@ def blocks(page: str | None) -> list[Block]:
 
     at = 0
     page = page or ""
-    for token in _TOKEN.finditer(page):
+    open_ended = set()
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
@@ -101,6 +132,14 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in _TAGS:
+            if not token["end"] and not token["attrs"].endswith("/") and name not in open_ended:
+                end = _left_out(page, name, at)
+                if end < 0:
+                    open_ended.add(name)  # nothing ends it from here on
+                else:
+                    at = end
+            continue
         if name in BLOCKS:
             flush()
         if name == "br":

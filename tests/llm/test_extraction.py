@@ -47,3 +47,16 @@ def test_nulls_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, None, None, 3), (None, "u", "", 4)], "page_id long, url string, html string, text int")
     assert {(r["page_id"], r["url"], r["text"]) for r in extraction.extract(rows).collect()} == {(1, None, ""), (None, "u", "")}
     assert extraction.extract(rows.limit(0)).count() == 0
+
+
+def test_what_is_left_out_ends():
+    """Self-closed and unclosed tags do not swallow the page; formulas and fallback texts are kept."""
+    main = "<article><p>Main text.</p></article>"
+    for tag in ('<svg class="i"/>', "<math/>", "<svg>", "<select><option>", "<object>", "<iframe src=x/>", "<iframe>", "<template>", "<noscript>"):
+        assert texts(f"<body>{tag}{main}</body>")[-1] == "Main text.", tag
+        assert texts(f"<body>{tag}{main}<svg><text>no</text></svg></body>")[-1] == "Main text.", tag
+    assert texts("<p>Let <math><mi>x</mi></math> be <svg><svg/><text>no</text></svg>it") == ["Let x be it"]
+    assert texts("<article><object data=x><p>Fallback.</p></object></article>") == ["Fallback."]
+    assert [node.name for node in blocks("<article><object data=x><p>Fallback.</p></object></article>")[0].path] == ["article", "object", "p"]
+    assert texts("<p>a<select><option>no</select>b<noscript><p>no</p></noscript><iframe>no</iframe><template><p>no</template>c") == ["abc"]
+    assert texts("<script>var a='<p>x</p>'") == texts("<style><p>x") == texts("<textarea><p>x") == []
