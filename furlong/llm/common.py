@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong.sources.files import delete_folders
 from furlong.sources.store import shared_folder
 
 # A word is a run without the six ASCII white-space characters; bytes.split() cuts at the same six.
@@ -37,30 +38,28 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def staged(rows: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/furlong-llm/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return Scope().staged(rows, name)
 
 
-_written: list[str] = []
+class Scope:
+    """The tables that one call stages for itself; other calls' tables are never touched."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def written() -> int:
-    """A mark for ``settled``: how many tables have been staged so far."""
-    return len(_written)
+    def staged(self, rows: DataFrame, name: str) -> DataFrame:
+        spark = rows.sparkSession
+        path = f"{shared_folder(spark)}/furlong-llm/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.paths.append(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
-
-def settled(rows: DataFrame, name: str, since: int) -> DataFrame:
-    """Stages the rows and deletes the tables staged after the mark, which nothing needs any more."""
-    spark = rows.sparkSession
-    result = staged(rows, name)
-    for path in _written[since:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _written[since:-1]
-    return result
+    def settled(self, rows: DataFrame, name: str) -> DataFrame:
+        """Stages the rows and deletes the scope's earlier tables, which nothing needs any more."""
+        used, self.paths = self.paths, []
+        result = self.staged(rows, name)
+        delete_folders(rows.sparkSession, used)
+        return result
 
 
 def maybe_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from furlong.llm.common import settled, staged, word_array, written
+from furlong.llm.common import Scope, word_array
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -115,17 +115,18 @@ def offsets(sized: DataFrame, n_docs: int) -> DataFrame:
     return rows.withColumn("start", F.col("before") + F.col("upto") - F.col("size")).drop("key", "bucket", "before", "upto")
 
 
-def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, scope: Scope | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture, and every row of the documents with its place in the stream of its source.
 
     A row of the mixture is what one block takes of one round of a document:
     ``place`` (of the block; slots in order, then added blocks), ``slot`` (null for an added block),
     ``rank`` (of the block in its source), ``sid``, ``source``, ``start``, ``at`` (in the stream),
     ``doc_id``, ``text_key``, ``from_word`` and ``to_word`` (of the document, end exclusive).
-    Ordered by ``place`` and ``at``, the rows are the mixed corpus.
+    Ordered by ``place`` and ``at``, the rows are the mixed corpus. They are computed from the tables in ``scope``.
     """
-    sized = staged(sizes(docs), "sizes")
-    goals = staged(targets(sized), "targets")
+    scope = scope or Scope()
+    sized = scope.staged(sizes(docs), "sizes")
+    goals = scope.staged(targets(sized), "targets")
     whole = sized.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_sources = max(1, goals.count())
     block = max(1, min(BLOCK, whole["words"] // (n_sources * SLOTS_PER_SOURCE)))
@@ -135,7 +136,7 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         goals.withColumnRenamed("source", "of"), F.col("own").eqNullSafe(F.col("of"))
     )
     numbered = numbered.select("doc_id", "text_key", F.col("own").alias("source"), "size", "sid", "source_size", "target", "goal")
-    placed = staged(offsets(numbered, whole["docs"]), "offsets")
+    placed = scope.staged(offsets(numbered, whole["docs"]), "offsets")
 
     pieces = placed.filter("size > 0").select("sid", "start", "size", "source_size", "goal", "source", "doc_id", "text_key", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("round"))
     pieces = pieces.withColumn("from", F.col("round") * F.col("source_size") + F.col("start"))
@@ -157,11 +158,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
     What is taken of a document is the sum of its rows in the mixture.
     """
-    mark = written()
-    rows, placed = mixture(docs)
+    scope = Scope()
+    rows, placed = mixture(docs, scope)
     taken = rows.groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     # A document with words has its place in the stream to itself.
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     filled = placed.filter("size > 0").join(taken, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     names = ["doc_id", "text_key", "source", "size", "source_size", "target", "taken"]
-    return settled(filled.select(names).unionByName(empty.select(names)), "mixed", mark)
+    return scope.settled(filled.select(names).unionByName(empty.select(names)), "mixed")

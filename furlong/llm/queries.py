@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm import bpe, chat, extraction, language, mixing, near_dedup, quality, substring_dedup, topk, toxicity
-from furlong.llm.common import read
+from furlong.llm import bpe, chat, extraction, language, merkle, mixing, near_dedup, periodic_runs, quality, substring_dedup, topk, toxicity, url_filter
+from furlong.llm.common import read, word_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -100,3 +100,72 @@ def op9_toxicity(spark, folder):
 @query
 def op10_exact_top_k(spark, folder):
     return topk.top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# The list of the query's contract.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query
+def op11_url_filter(spark, folder):
+    return url_filter.judge(read(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def crc_of_id():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", capitals, capitals.lower())
+    text = F.when(crc_of_id() % 3 == 0, lowered).otherwise(F.col("text"))
+    rows = merkle.manifest(read(spark, folder, "documents"), {"text": text})
+    rows = rows.withColumn("folded_root", merkle.fold(F.col("seen"), F.col("proof")))
+    proof = merkle.digest(merkle.joined(F.col("proof"))).alias("proof_sha256")
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", verified)
+
+
+def planted_period(text):
+    """Every tenth text repeats a stretch of its words from some word on; see the contract of the query."""
+    words = word_array(text)
+    number = F.floor(crc_of_id() / 10).cast("long")
+    n = F.size("words").cast("long")
+    first = number % n
+    period = F.floor((n - first) / (3 + number % 8)).cast("long") + 1
+    times = F.ceil((n - first) / period).cast("int")
+    part = F.slice("words", (first + 1).cast("int"), period.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(part, times)), F.lit(1), (n - first).cast("int"))
+    written = F.array_join(F.concat(F.slice("words", F.lit(1), first.cast("int")), again), " ")
+    return words, F.when(F.size("words") > 0, written).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    words, written = planted_period(F.col("text"))
+    chosen = F.coalesce(crc_of_id() % 10 == 0, F.lit(False))
+    docs = docs.withColumn("words", F.when(chosen, words)).withColumn("text", F.when(chosen, written).otherwise(F.col("text")))
+    rows = periodic_runs.find_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["period"].alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    rows = rows.withColumn("longest", longest)
+    length, period = F.col("longest.length"), F.col("longest.q")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Bounded, map_batches, maybe_in, settled, staged, words, written
+from furlong.llm.common import Bounded, Scope, map_batches, maybe_in, words
 from furlong.llm.fm_index import FmIndex
 
 WINDOW = 50
@@ -227,7 +227,7 @@ def shard_spans(shards: DataFrame) -> DataFrame:
     return map_batches(sorted_rows.select("anchor", "doc_id", "tkey", "start", "words"), step, SPAN)
 
 
-def covered_windows(docs: DataFrame) -> DataFrame:
+def covered_windows(docs: DataFrame, scope: Scope) -> DataFrame:
     """``doc_id``, ``tkey`` (hash of the text), ``spans`` (start, n): windows whose words also start in a smaller id.
 
     Documents whose text a smaller id has are left to the caller.
@@ -235,20 +235,20 @@ def covered_windows(docs: DataFrame) -> DataFrame:
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), "text")
     first = rows.groupBy("tkey").agg(F.min("doc_id").alias("doc_id"))
-    found = staged(all_stretches(rows), "stretches").join(first, ["doc_id", "tkey"], "left_semi")
+    found = scope.staged(all_stretches(rows), "stretches").join(first, ["doc_id", "tkey"], "left_semi")
 
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     anchors = anchors.filter("c > 1").select("anchor", (F.col("low") < F.col("high")).alias("several"))
-    shared = staged(found.join(anchors, "anchor"), "shared")
+    shared = scope.staged(found.join(anchors, "anchor"), "shared")
     groups = shared.groupBy("anchor", "digest", "several").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     variety = groups.filter("several").groupBy("anchor").agg((F.count("*") > MOST).alias("hot"))
     groups = groups.join(variety, "anchor", "left").filter("c > 1 or several").select("anchor", "digest", "first", "hot")
-    known = staged(shared.join(groups, ["anchor", "digest"]), "known")
+    known = scope.staged(shared.join(groups, ["anchor", "digest"]), "known")
     one_span = F.array(F.struct("start", "n")).alias("spans")
     whole = known.filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey", one_span)
 
     asked = known.filter(F.col("several") & (F.col("doc_id") == F.col("first"))).select("doc_id", "tkey", "anchor", "start", "n", "hot")
-    pieces = staged(contents(asked, rows), "contents")
+    pieces = scope.staged(contents(asked, rows), "contents")
     searched = shard_spans(pieces.filter(~F.col("hot"))).select("doc_id", "tkey", one_span)
     hot = pieces.filter("hot")
     earliest = hot.groupBy("anchor").agg(F.min("doc_id").alias("first"))
@@ -259,14 +259,14 @@ def covered_windows(docs: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """The rows with ``__copy`` (a smaller id has the same text) and ``__spans`` (covered windows)."""
-    rows, mark = docs.withColumn("__key", F.xxhash64("text")), written()
-    spans = covered_windows(docs).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    rows, scope = docs.withColumn("__key", F.xxhash64("text")), Scope()
+    spans = covered_windows(docs, scope).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
     known = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("tkey"))
     first = known.groupBy("tkey").agg(F.min("doc_id").alias("first"))
     copies = known.join(first, "tkey").filter(F.col("doc_id") > F.col("first")).select("doc_id", "tkey").distinct()
     marks = copies.withColumn("__copy", F.lit(True)).join(spans, ["doc_id", "tkey"], "full")
-    marks = settled(marks.withColumnsRenamed({"doc_id": "__doc", "tkey": "__tkey"}), "marks", mark)
+    marks = scope.settled(marks.withColumnsRenamed({"doc_id": "__doc", "tkey": "__tkey"}), "marks")
     # Rows that surely have no mark stay where they are; only the others meet the marks.
     split = maybe_in(rows, marks.select(F.col("__doc").alias("doc_id")), "doc_id")
     on = (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__tkey"))
