@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furlong.functions.scalars import rate, round_ties_up, tokyo_day
+from furlong.functions.scalars import rate, round_ties_up, surface_class, tokyo_day
 
 # --- fixed values ------------------------------------------------------------
 PREFERRED_BASE = "rule-based-v1"
@@ -18,6 +18,9 @@ DEFAULT_LABEL = "特徴量"
 DEFAULT_REASON = "スコアに影響しました"
 # -----------------------------------------------------------------------------
 
+# Metres from which a race is of middle length, and long.
+MIDDLE_FROM, LONG_FROM = 1400, 2000
+
 RAW_COMPONENT = "array<struct<key:string,label:string,adjustment:string,reason:string>>"
 
 
@@ -43,6 +46,7 @@ def analytics_base(
     run_columns = runs.select("run_id", "model_version", "as_of_at").filter(kept).drop("as_of_at")
     evaluated = evaluations.select(
         "prediction_id",
+        "finish_position",
         "rank_diff",
         "is_predicted_top1",
         "top_prediction_is_top3",
@@ -50,7 +54,7 @@ def analytics_base(
         F.lit(True).alias("is_evaluated"),
     )
     rows = (
-        predictions.select("prediction_id", "run_id", "race_id", "rank_in_race", "score_components")
+        predictions.select("prediction_id", "run_id", "race_id", "rank_in_race", "prediction_score", "score_components")
         .join(run_columns, "run_id")
         .join(evaluated, "prediction_id", "left")
         .withColumn("is_evaluated", F.coalesce("is_evaluated", F.lit(False)))
@@ -85,6 +89,89 @@ def _metrics() -> list[Column]:
     ]
 
 
+def rank_diff_median(base: DataFrame) -> DataFrame:
+    """Exact median of the rank differences per model version.
+
+    Differences are small whole numbers, so their counts are what is merged: a
+    version has no more of them than the largest field has horses.
+    """
+    counts = base.filter(F.col("rank_diff").isNotNull()).groupBy("model_version", "rank_diff").agg(F.count("*").alias("n"))
+    version = Window.partitionBy("model_version")
+    counts = counts.withColumns({"upto": F.sum("n").over(version.orderBy("rank_diff")), "whole": F.sum("n").over(version)})
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= place, F.col("rank_diff")))
+
+    half = F.floor(F.col("whole") / 2)
+    both = at(F.ceil(F.col("whole") / 2)) + at(half + 1)
+    return counts.groupBy("model_version").agg(
+        F.max("whole").alias("evaluated_prediction_count"), (both / 2).alias("median_rank_diff")
+    )
+
+
+def position_by_rank(base: DataFrame) -> DataFrame:
+    """Mean finish position of every predicted rank, per model version."""
+    placed = F.col("finish_position").isNotNull()
+    rows = base.filter(placed & F.col("rank_in_race").isNotNull()).groupBy("model_version", "rank_in_race")
+    mean = round_ties_up(rate(F.sum("finish_position"), F.count("*")), 4)
+    return rows.agg(F.count("*").alias("placed_count"), mean.alias("average_finish_position"))
+
+
+def score_bands(base: DataFrame, width: int = 10) -> DataFrame:
+    """Share of evaluated predictions in the first three, per model version and band of scores."""
+    band = (F.floor(F.col("prediction_score") / width) * width).cast("int").alias("score_from")
+    rows = base.filter("is_evaluated").groupBy("model_version", band)
+    top3 = F.count_if(F.coalesce(F.col("finish_position") <= 3, F.lit(False)))
+    return rows.agg(
+        F.count("*").alias("evaluated_prediction_count"), top3.alias("top3_count"),
+        round_ties_up(rate(top3, F.count("*")), 4).alias("top3_rate"),
+    )
+
+
+def distance_band(meters: Column) -> Column:
+    return F.when(meters < MIDDLE_FROM, "short").when(meters < LONG_FROM, "middle").when(meters.isNotNull(), "long")
+
+
+def version_report(base: DataFrame, races: DataFrame) -> DataFrame:
+    """The metrics of every model version: over all races, and by venue, distance band and surface.
+
+    Predictions are first summed up per run and race, so races need no distinct
+    count afterwards; the sums of a race enter all levels in one expand.
+    """
+    compared = F.col("rank_diff").isNotNull()
+    top = F.coalesce(F.col("is_predicted_top1"), F.lit(False))
+    top_known = top & F.col("top_prediction_is_top3").isNotNull()
+    winner_known = top & F.col("actual_winner_in_predicted_top3").isNotNull()
+    per_race = base.groupBy("model_version", "run_id", "race_id").agg(
+        F.count("*").alias("predictions"),
+        F.count_if(compared).alias("compared"),
+        F.coalesce(F.sum("rank_diff"), F.lit(0)).alias("differences"),
+        F.count_if(top_known).alias("top_known"),
+        F.count_if(top_known & F.col("top_prediction_is_top3")).alias("top_right"),
+        F.count_if(winner_known).alias("winner_known"),
+        F.count_if(winner_known & F.col("actual_winner_in_predicted_top3")).alias("winner_right"),
+    )
+    places = races.select(
+        "race_id", "venue", distance_band(F.col("distance_meters")).alias("distance_band"), surface_class(F.col("surface")).alias("surface_class")
+    )
+    rows = per_race.join(places, "race_id")
+    by = ["venue", "distance_band", "surface_class"]
+    sets = [[F.col("model_version")], *[[F.col("model_version"), F.col(name)] for name in by]]
+    level = F.coalesce(*[F.when(F.grouping(name) == 0, F.lit(name)) for name in by], F.lit("all"))
+    value = F.coalesce(*[F.when(F.grouping(name) == 0, F.col(name)) for name in by])
+    report = rows.groupingSets(sets, "model_version", *by).agg(
+        level.alias("level"),
+        value.alias("level_value"),
+        F.sum("predictions").alias("prediction_count"),
+        F.sum("compared").alias("evaluated_prediction_count"),
+        F.count_if(F.col("compared") > 0).alias("evaluated_race_count"),
+        round_ties_up(rate(F.sum("top_right"), F.sum("top_known")), 4).alias("top1_top3_rate"),
+        round_ties_up(rate(F.sum("winner_right"), F.sum("winner_known")), 4).alias("winner_in_predicted_top3_rate"),
+        round_ties_up(rate(F.sum("differences"), F.sum("compared")), 4).alias("average_rank_diff"),
+    )
+    return _small_sample(report.drop(*by))
+
+
 def _small_sample(rows: DataFrame) -> DataFrame:
     races = F.col("evaluated_race_count")
     return rows.withColumn("is_small_sample", (races > 0) & (races < SMALL_SAMPLE_RACES))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ def predictions_with_results(
             "entry_id",
             F.col("rank_in_race").alias("predicted_rank"),
             "prediction_score",
+            "as_of_at",
         )
         .join(chosen.select("run_id"), "run_id", "left_semi")
         .join(found, "entry_id")
@@ -102,10 +105,11 @@ def _with_joined_race_facts(rows: DataFrame) -> DataFrame:
     return rows.join(race, list(RACE))
 
 
-def evaluate(rows: DataFrame, crowded_races: bool = False) -> DataFrame:
+def evaluate(rows: DataFrame, crowded_races: bool = False, carried: Sequence[str] = ()) -> DataFrame:
     """Evaluation rows of ``predictions_with_results``.
 
-    ``crowded_races`` says that some race has too many entries for one task.
+    ``crowded_races`` says that some race has too many entries for one task;
+    ``carried`` columns of the rows are added as they are.
     """
     known = _with_joined_race_facts(rows) if crowded_races else _with_race_facts(rows)
     position = F.col("finish_position")
@@ -126,6 +130,7 @@ def evaluate(rows: DataFrame, crowded_races: bool = False) -> DataFrame:
         "result_available_at",
         "winner_entry_id",
         "top_entry_id",
+        *carried,
     )
 
 

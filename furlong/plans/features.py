@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from furlong import registry
 from furlong.functions.scalars import LAYOFF_DAYS, rate, surface_class
 from furlong.model import Tables
-from furlong.operators.history import Measure, strict_past
+from furlong.operators.history import Measure, as_events, near_copies, strict_past
 
 STORED_NUMBER = "decimal(18,6)"
 
@@ -80,8 +80,8 @@ def eligible_history(tables: Tables, as_of: str | datetime) -> DataFrame:
     return rows.filter(eligible(rows))
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    seen = eligible(rows)
+def _measured(rows: DataFrame, seen: Column | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    seen = eligible(rows) if seen is None else seen
     timed = seen & (F.col("finish_status") == "finished") & F.col("finish_time_milliseconds").isNotNull()
     return rows.select(
         "entry_id",
@@ -103,6 +103,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         F.when(seen, F.struct(F.unix_micros("scheduled_start_at").alias("at"), "race_date")).alias("run"),
         F.when(seen, F.col("result_available_at")).alias("seen_available_at"),
         F.when(seen, F.col("result_observed_at")).alias("seen_observed_at"),
+        *carried,
     )
 
 
@@ -258,6 +259,101 @@ def feature_rows(tables: Tables, as_of: Sequence[str | datetime]) -> DataFrame:
     )
 
 
+NEAR_METERS = 200
+
+
+def near_distance_rows(tables: Tables, as_of: Sequence[str | datetime], meters: int = NEAR_METERS) -> DataFrame:
+    """Best earlier time of the horse on the same surface over a distance within ``meters`` of the race's.
+
+    ``horse_best_time_near_distance_ms`` and the number of times it is the best of.
+    """
+    scope = _scope(as_of)
+    rows = _measured(visible_rows(tables, as_of))
+    keys = (*scope, "horse_id", "surface_class")
+    hot = tables.hot.get("horse_id")
+    if hot is None:
+        rows = rows.repartition("horse_id", *scope)  # one exchange serves both windows
+    copies = near_copies(rows, keys, "distance_meters", meters, "near_meters", F.col("timed").isNotNull(), hot is not None)
+    families = {(*keys, "near_meters"): [*_counts("near", "timed"), Measure("near_best", "min", "time_ms")]}
+    found = strict_past(copies, "horse_id", "start_us", families, hot)
+    return found.filter(F.col("near_meters").eqNullSafe(F.col("distance_meters"))).select(
+        *IDENTITY,
+        F.col("near_best").cast("int").alias("horse_best_time_near_distance_ms"),
+        _count("near_timed").alias("horse_best_time_near_distance_count"),
+    )
+
+
+_HISTORY = ("start", "win", "top3", "timed", "time_ms", "run", "seen_available_at", "seen_observed_at")
+
+
+def training_rows(tables: Tables, known_until: str | datetime) -> DataFrame:
+    """Features of every started entry as of its own race's start, with labels known at ``known_until``.
+
+    A start counts for a later race once its result, its race and its entry were
+    all published, at the latest when that race started. So each row is two
+    events in the history of its horse and of its jockey (see ``as_events``), and
+    one pass gives what a feature job per start would. ``label_*`` is null
+    without a published result; nothing of a row's own result enters its features.
+    """
+    limit = instant(known_until)
+    races = tables.races.filter(F.col("scheduled_start_at") <= limit).select(
+        "race_id",
+        "race_date",
+        "scheduled_start_at",
+        "venue",
+        surface_class(F.col("surface")).alias("surface_class"),
+        "distance_meters",
+        F.nullif(F.col("track_condition"), F.lit("")).alias("track_condition"),
+        F.unix_micros("available_at").alias("race_us"),
+    )
+    entries = tables.entries.select("entry_id", "race_id", "horse_id", "jockey_id", F.unix_micros("available_at").alias("entry_us"))
+    results = tables.results.filter(F.col("available_at") <= limit).select(
+        "entry_id",
+        "finish_position",
+        "finish_status",
+        "finish_time_milliseconds",
+        F.col("available_at").alias("result_available_at"),
+        F.col("observed_at").alias("result_observed_at"),
+    )
+    start = F.unix_micros("scheduled_start_at")
+    known = F.greatest(F.unix_micros("result_available_at"), F.col("race_us"), F.col("entry_us"), start + 1)
+    rows = entries.join(races, "race_id").join(results, "entry_id", "left").withColumns(
+        {
+            "as_of_at": F.col("scheduled_start_at"),
+            "known_us": F.when(F.col("result_available_at").isNotNull(), known),
+            "was_visible": F.greatest("race_us", "entry_us") <= start,
+        }
+    )
+    labels = {
+        "label_finish_position": F.col("finish_position"),
+        "label_is_win": F.when(F.col("known_us").isNotNull(), F.coalesce(F.col("finish_position") == 1, F.lit(False))),
+        "label_is_top3": F.when(F.col("known_us").isNotNull(), F.coalesce(F.col("finish_position") <= 3, F.lit(False))),
+    }
+    kept = ["known_us", "was_visible", *labels]
+    rows = _measured(rows.withColumns(labels), F.col("known_us").isNotNull(), kept)
+    # The history columns of the row itself wait under other names for the second pass.
+    own = {f"own_{name}": F.col(name) for name in _HISTORY}
+
+    def passed(rows: DataFrame, entity: str, families) -> DataFrame:
+        events = as_events(rows, "known_us", "start_us", _HISTORY)
+        return strict_past(events, entity, "at", families, tables.hot.get(entity), upto=0).filter("asks")
+
+    horses = passed(rows.withColumns(own), "horse_id", _horse_families(()))
+    slim = horses.select(
+        *IDENTITY, "venue", "distance_meters", "start_us", *kept,
+        *[F.col(f"own_{name}").alias(name) for name in _HISTORY],
+        *_named(_horse_columns()), *HORSE_MARKS,
+    )
+    alone = slim.withColumn("_alone", F.when(F.col("jockey_id").isNull(), F.xxhash64("entry_id")))
+    found = passed(alone, "jockey_id", _jockey_families(())).filter("was_visible")
+    return found.select(
+        *IDENTITY,
+        *[feature.column for feature in registry.ALL if feature.key.startswith("horse.")],
+        *_named(_jockey_columns()),
+        *labels,
+    )
+
+
 def _marks_of(key: str) -> str:
     if key.startswith("horse."):
         return "horse"

@@ -107,7 +107,7 @@ def generate_predictions(
         [F.desc("score"), F.asc("horse_number")],
         "rank_in_race",
         tables.hot.get("race_id"),
-        F.struct(-F.col("score"), F.floor(F.col("horse_number") / 1024)),
+        value=-F.col("score"),
     )
     version = F.col("model_version")
     at = instant(as_of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from furlong import registry
 from furlong.functions.scalars import body_weight_label, evaluation_label, finish_label, race_time_label
 from furlong.model import HISTORY_PAGE_SIZE, RACE_PAGE_SIZE, Tables
 from furlong.operators.latest import latest_feature_rows, latest_predictions
-from furlong.operators.paging import all_of, page, page_totals
+from furlong.operators.paging import all_of, page, page_after, page_totals
 from furlong.plans.analytics import DEFAULT_LABEL, DEFAULT_REASON, UNKNOWN_KEY
 
 # --- fixed values ------------------------------------------------------------
@@ -44,6 +46,20 @@ def races_page(races: DataFrame, number: int, **filters: str | None) -> DataFram
     return page(_race_columns(filter_races(races, **filters)), order, number, RACE_PAGE_SIZE)
 
 
+RACE_ORDER = (("scheduled_start_at", True), ("race_number", True), ("race_id", True))
+BATCH_ORDER = (("started_at", False), ("batch_id", True))
+
+
+def races_page_after(races: DataFrame, last: Mapping[str, object] | None, **filters: str | None) -> DataFrame:
+    """The page of the race list that follows a row of it."""
+    return page_after(_race_columns(filter_races(races, **filters)), RACE_ORDER, last, RACE_PAGE_SIZE)
+
+
+def batches_page_after(batches: DataFrame, last: Mapping[str, object] | None) -> DataFrame:
+    """The page of a batch history, newest first, that follows a row of it."""
+    return page_after(batches, BATCH_ORDER, last, HISTORY_PAGE_SIZE)
+
+
 def races_totals(races: DataFrame, **filters: str | None) -> DataFrame:
     return page_totals(filter_races(races, **filters), RACE_PAGE_SIZE)
 

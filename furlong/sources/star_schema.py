@@ -140,7 +140,7 @@ def _entries(runners: DataFrame, orders: DataFrame, hot: dict[str, DataFrame]) -
         [F.asc("l_partkey")],
         "horse_number",
         _with_race_key(hot),
-        F.floor(F.col("l_partkey") / 1024),
+        value=F.col("l_partkey"),
     )
     dates = orders.select("o_orderkey", "o_orderdate")
     return numbered.join(dates, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -170,7 +170,7 @@ def _results(runners: DataFrame, orders: DataFrame, hot: dict[str, DataFrame]) -
         [F.desc("l_extendedprice"), F.asc("l_partkey")],
         "place",
         _with_race_key(hot),
-        F.struct(-F.col("l_extendedprice"), F.floor(F.col("l_partkey") / 1024)),
+        value=-F.col("l_extendedprice"),
     )
     finished = F.col("fin") == 1
     dates = orders.select("o_orderkey", "o_orderdate")

@@ -3,22 +3,38 @@
 A job writes new folders beside the current ones and then adds one small
 numbered pointer file. Readers follow the newest, so they see all of a job's
 tables or none, and a failed or repeated job leaves the old version in place.
+
+A table of rows that belong to an instant is kept in slices, one folder per
+instant, each with a version of its own. A job rewrites the instants it touches
+and names only them; the files of all others stay as they are, and a reader's
+limit on the instant becomes a partition filter. Two jobs on different
+instants of a table do not disturb each other. ``clean`` deletes what no
+pointer names that a reader may still follow.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from furlong import model
 from furlong.operators.latest import first_row
+from furlong.sources import files
 
 _POINTER = "CURRENT-"
+_NEXT = ".next-"
+_VERSION = re.compile(r"(version=)?[0-9a-f]{32}")
+
+# What a pointer names per table: its folder, or per instant the version that holds its slice.
+Named = str | dict[str, str]
 
 SCHEMAS = {
     "races": model.RACES,
@@ -58,6 +74,29 @@ def last_state(states: DataFrame) -> DataFrame:
     return first_row(states, states.columns[:1], [F.desc_nulls_last("finished_at"), F.desc("status")])
 
 
+def _slice(name: str, instant: str) -> str:
+    return f"{name}@{instant}"
+
+
+def _micros(at: datetime) -> int:
+    """Microseconds since 1970; an instant without a zone is local, as Spark takes it."""
+    return (at.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+
+def _flat(folders: Mapping[str, Named]) -> dict[str, str]:
+    """Tables and slices with their version."""
+    flat = {}
+    for name, named in folders.items():
+        flat.update({_slice(name, i): version for i, version in named.items()} if isinstance(named, dict) else {name: named})
+    return flat
+
+
+def _paths(name: str, named: Named) -> list[str]:
+    if isinstance(named, str):
+        return [named]
+    return [f"{name}/version={version}/instant={instant}" for instant, version in named.items()]
+
+
 class StaleTable(RuntimeError):
     """Another job replaced a table that this one is about to replace."""
 
@@ -68,27 +107,26 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        # Which version of a table this job has read.
+        # Which version of a table, or of a slice of one, this job has read.
         self._seen: dict[str, str | None] = {}
 
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _numbers(self) -> list[int]:
+        names = files.names_in(self.spark, self.root)
+        return sorted(int(name[len(_POINTER) :]) for name in names if name.startswith(_POINTER))
+
+    def _content(self, number: int) -> dict[str, Named]:
+        lines = self.spark.read.text(self._pointer_file(number)).collect()  # one short line
+        return json.loads("".join(row["value"] for row in lines))
+
+    def _pointer_file(self, number: int) -> str:
+        return f"{self.root}/{_POINTER}{number:09d}"
 
-    def _pointer(self) -> tuple[int, dict[str, str]]:
+    def _pointer(self) -> tuple[int, dict[str, Named]]:
         """Number and content of the newest pointer file."""
-        root, fs = self._file("")
-        numbers = []
-        if fs.exists(root):
-            names = [status.getPath().getName() for status in fs.listStatus(root)]
-            numbers = [int(name[len(_POINTER) :]) for name in names if name.startswith(_POINTER)]
-        if not numbers:
-            return 0, {}
-        newest = max(numbers)
-        lines = self.spark.read.text(f"{self.root}/{_POINTER}{newest:09d}").collect()  # one short line
-        return newest, json.loads("".join(row["value"] for row in lines))
-
-    def _folders(self) -> dict[str, str]:
+        numbers = self._numbers()
+        return (numbers[-1], self._content(numbers[-1])) if numbers else (0, {})
+
+    def _folders(self) -> dict[str, Named]:
         return self._pointer()[1]
 
     def has(self, table: str) -> bool:
@@ -97,11 +135,54 @@ class Store:
     def table(self, name: str, schema: str | None = None) -> DataFrame:
         """The current version; an empty table where none was written yet."""
         folder = self._folders().get(name)
+        if isinstance(folder, dict):
+            return self.slices(name, schema)
         self._seen[name] = folder
         if folder is None:
             return self.spark.createDataFrame([], schema or SCHEMAS[name])
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
+    def instants(self, name: str) -> list[int]:
+        """The instants, in microseconds, of which a table has a slice."""
+        return sorted(map(int, self._folders().get(name, {})))
+
+    def slices(
+        self, name: str, schema: str | StructType | None = None, among: Iterable[int] | None = None,
+        until: datetime | None = None,
+    ) -> DataFrame:
+        """A sliced table, or its slices of some instants (microseconds) or up to one.
+
+        The limit is a filter on the partition column, so other slices are not read.
+        """
+        named = self._folders().get(name, {})
+        chosen = None if among is None else {str(instant) for instant in among}
+        for instant in named if chosen is None else chosen:
+            self._seen[_slice(name, instant)] = named.get(instant)
+        # Only folders within the limit are listed; the filter on the partition column says the same to the plan.
+        last = None if until is None else _micros(until)
+        wanted = {i: v for i, v in named.items() if (chosen is None or i in chosen) and (last is None or int(i) <= last)}
+        if not wanted:
+            return self.spark.createDataFrame([], schema or SCHEMAS[name])
+        paths = [f"{self.root}/{name}/version={version}/instant={instant}" for instant, version in wanted.items()]
+        reader = self.spark.read.option("basePath", f"{self.root}/{name}")
+        if schema is not None:
+            stored = schema if isinstance(schema, StructType) else self.spark.createDataFrame([], schema).schema
+            reader = reader.schema(StructType([*stored, StructField("version", StringType()), StructField("instant", LongType())]))
+        rows = reader.parquet(*paths)
+        if chosen is not None:
+            rows = rows.filter(F.col("instant").isin(sorted(map(int, chosen))))
+        if last is not None:
+            rows = rows.filter(F.col("instant") <= last)
+        return rows.drop("version", "instant")
+
+    def prepare_slices(self, name: str, rows: DataFrame, column: str = "as_of_at") -> dict[str, str]:
+        """Write one version of the slices that the rows belong to; per instant the version."""
+        version = uuid.uuid4().hex
+        base = f"{self.root}/{name}/version={version}"
+        rows.withColumn("instant", F.unix_micros(column)).write.partitionBy("instant").parquet(base)
+        found = [part.removeprefix("instant=") for part in files.names_in(self.spark, base) if part.startswith("instant=")]
+        return {instant: version for instant in found}
+
     def prepare(self, tables: Mapping[str, DataFrame]) -> dict[str, str]:
         """Write new versions that nobody reads yet."""
         folders = {}
@@ -117,8 +198,8 @@ class Store:
         """Write new versions of all given tables, then switch to them together."""
         self.switch(self.prepare(tables))
 
-    def switch(self, prepared: Mapping[str, str]) -> None:
-        """Make prepared versions the current ones, all at once.
+    def switch(self, prepared: Mapping[str, Named]) -> None:
+        """Make prepared versions the current ones, all at once; of a sliced table, its prepared slices.
 
         Pointers are numbered and never overwritten: the new one is written aside
         and renamed to the next number, which fails if another job was quicker.
@@ -127,18 +208,55 @@ class Store:
         """
         while True:
             number, folders = self._pointer()
-            stale = [name for name in prepared if name in self._seen and folders.get(name) != self._seen[name]]
+            current, wanted = _flat(folders), _flat(prepared)
+            stale = [name for name in wanted if name in self._seen and current.get(name) != self._seen[name]]
             if stale:
                 raise StaleTable(f"replaced by another job meanwhile: {', '.join(sorted(stale))}")
-            fresh, fs = self._file(f".next-{uuid.uuid4().hex}")
-            stream = fs.create(fresh)
-            stream.write(bytearray(json.dumps({**folders, **prepared}).encode("utf-8")))
-            stream.close()
-            target, _ = self._file(f"{_POINTER}{number + 1:09d}")
-            if not fs.exists(target) and fs.rename(fresh, target):
-                self._seen.update(prepared)
+            merged = dict(folders)
+            for name, named in prepared.items():
+                merged[name] = {**merged.get(name, {}), **named} if isinstance(named, dict) else named
+            fresh = f"{self.root}/{_NEXT}{uuid.uuid4().hex}"
+            files.create(self.spark, fresh, json.dumps(merged))
+            if files.rename_new(self.spark, fresh, self._pointer_file(number + 1)):
+                self._seen.update(wanted)
                 return
-            fs.delete(fresh, False)
+            files.delete_folders(self.spark, [fresh])
+
+    def clean(self, before: datetime) -> list[str]:
+        """Delete what no reader can need any more; returns the deleted folders, relative to the root.
+
+        A pointer that was replaced at ``before`` or later may still be followed by a
+        reader, so it stays with all it names, as does the current one. Folders that
+        no such pointer names go if they were written before ``before``: younger
+        ones may belong to a job that has not switched yet.
+        """
+        limit = int(before.timestamp() * 1000)
+        numbers = self._numbers()
+        replaced = {old: files.modified(self.spark, self._pointer_file(new)) for old, new in zip(numbers, numbers[1:])}
+        gone = [number for number in numbers if replaced.get(number, limit) < limit]
+        kept = [self._content(number) for number in numbers if number not in gone]
+        live = {path for content in kept for name, named in content.items() for path in _paths(name, named)}
+        deleted = []
+        for table in files.names_in(self.spark, self.root):
+            if table.startswith((_POINTER, _NEXT)):
+                continue
+            # Run histories and errors have plain files, which no pattern fits.
+            for version in filter(_VERSION.fullmatch, files.names_in(self.spark, f"{self.root}/{table}")):
+                folder = f"{table}/{version}"
+                if folder in live or files.modified(self.spark, f"{self.root}/{folder}") >= limit:
+                    continue
+                used = [path for path in live if path.startswith(f"{folder}/")]
+                if not used:
+                    deleted.append(folder)
+                    continue
+                slices = [f"{folder}/{part}" for part in files.names_in(self.spark, f"{self.root}/{folder}") if part.startswith("instant=")]
+                deleted += [path for path in slices if path not in used]
+        # Pointers first: a reader that comes now must not find one whose tables are going.
+        files.delete_folders(self.spark, [self._pointer_file(number) for number in gone])
+        files.delete_folders(self.spark, [f"{self.root}/{folder}" for folder in deleted])
+        left = [name for name in files.names_in(self.spark, self.root) if name.startswith(_NEXT)]
+        files.delete_folders(self.spark, [f"{self.root}/{name}" for name in left if files.modified(self.spark, f"{self.root}/{name}") < limit])
+        return sorted(deleted)
 
     def append_history(self, name: str, row: Mapping[str, object]) -> None:
         """Add one state of a run. Later states of the run replace earlier ones on reading."""
@@ -147,20 +265,21 @@ class Store:
         values = [row.get(field.name) for field in one.schema.fields]
         self.spark.createDataFrame([values], one.schema).write.mode("append").parquet(f"{self.root}/{name}")
 
+    def states(self, name: str) -> DataFrame:
+        """All recorded states of all runs."""
+        if not files.exists(self.spark, f"{self.root}/{name}"):
+            return self.spark.createDataFrame([], HISTORIES[name])
+        return self.spark.read.schema(HISTORIES[name]).parquet(f"{self.root}/{name}")
+
     def history(self, name: str) -> DataFrame:
         """One row per run, in its last state."""
-        path, fs = self._file(name)
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], HISTORIES[name])
-        states = self.spark.read.schema(HISTORIES[name]).parquet(f"{self.root}/{name}")
-        return last_state(states)
+        return last_state(self.states(name))
 
     def append_errors(self, errors: DataFrame) -> None:
         errors.write.mode("append").parquet(f"{self.root}/import_errors")
 
     def import_errors(self) -> DataFrame:
-        path, fs = self._file("import_errors")
-        if not fs.exists(path):
+        if not files.exists(self.spark, f"{self.root}/import_errors"):
             return self.spark.createDataFrame([], model.IMPORT_ERRORS)
         return self.spark.read.schema(model.IMPORT_ERRORS).parquet(f"{self.root}/import_errors")
 

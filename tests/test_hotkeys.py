@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.operators.history import Measure, strict_past
-from furlong.operators.hotkeys import find_hot, hot_keys, number_rows
+from furlong.operators.hotkeys import find_hot, hot_keys, mark_quantiles, number_rows
 from furlong.plans import evaluation, features, predictions
 from furlong.sources import star_schema
 from furlong.sources.scoring_config import BUILT_IN
@@ -69,6 +69,55 @@ def test_chunks_of_any_width_agree(spark):
         assert collected(split.select("id", "n", "low", "part_n", "part_low")) == expected
 
 
+def skewed(spark):
+    """One key with all rows on one day, half of them in one instant; another with all rows in one instant."""
+    day = (F.col("id") * 7919) % 86_400_000_000
+    return spark.range(8000).select(
+        F.when(F.col("id") % 4 > 0, "day").when(F.col("id") % 8 == 0, "instant").otherwise(F.concat(F.lit("k"), (F.col("id") % 60).cast("string"))).alias("who"),
+        F.when(F.col("id") % 8 == 0, F.lit(5)).when(F.col("id") % 2 == 0, F.lit(777)).otherwise(day).cast("long").alias("at"),
+        (F.col("id") % 3).alias("part"),
+        F.lit(1).alias("one"),
+        (F.col("id") % 100).alias("value"),
+        "id",
+    )
+
+
+@pytest.mark.parametrize("upto", [-1, 0])
+def test_chunks_follow_the_rows(spark, upto):
+    rows = skewed(spark)
+    families = {
+        ("who",): [Measure("n", "sum", "one"), Measure("low", "min", "value")],
+        ("who", "part"): [Measure("part_n", "sum", "one"), Measure("part_low", "min", "value")],
+    }
+    names = ["id", "n", "low", "part_n", "part_low"]
+    expected = collected(strict_past(rows, "who", "at", families, upto=upto).select(names))
+    hot = hot_keys(rows, "who", 500)
+    assert hot.count() == 2
+    split = strict_past(rows, "who", "at", families, hot, upto=upto, chunk_rows=200)
+    assert collected(split.select(names)) == expected
+
+
+def test_no_chunk_is_large_and_chunks_are_few(spark):
+    rows = skewed(spark)
+    marked = mark_quantiles(rows, "who", hot_keys(rows, "who", 500), F.col("at"), chunk_rows=200, ties=True)
+    sizes = marked.filter("_chunk is not null").groupBy("who", "_chunk", "_part").count().collect()
+    assert {r["who"] for r in sizes} == {"day", "instant"}
+    assert max(r["count"] for r in sizes) <= 450 and len(sizes) <= 2 * 7000 / 200
+    # Chunks ascend with the value, and equal values share one.
+    spans = marked.filter("_chunk is not null").groupBy("who", "_chunk").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    for who in ("day", "instant"):
+        found = [(r["low"], r["high"]) for r in spans.filter(F.col("who") == who).orderBy("_chunk").collect()]
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:]))
+
+
+def test_numbering_by_quantiles_is_the_same(spark):
+    rows = spark.range(3000).select(F.lit("g").alias("group"), ((F.col("id") * 31) % 7).alias("value"), "id")
+    order = [F.desc("value"), F.asc("id")]
+    expected = collected(number_rows(rows, ["group"], order, "nth").select("id", "nth"))
+    found = number_rows(rows, ["group"], order, "nth", hot_keys(rows, "group", 100), value=-F.col("value"), chunk_rows=50)
+    assert collected(found.select("id", "nth")) == expected
+
+
 def test_numbering_is_the_same(spark):
     rows = spark.range(2000).select(
         (F.col("id") % 2 * F.col("id") % 40).alias("group"), ((F.col("id") * 31) % 503).alias("value"), "id"

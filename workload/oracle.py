@@ -65,13 +65,13 @@ def _visible(*instants: str) -> str:
     values = ", ".join(f"(timestamp '{at} 00:00:00')" for at in instants)
     return f"""
 instants as (select * from (values {values}) v(as_of_at)),
-vis as (
+vis as materialized (
   select e.entry_id, e.race_id, e.horse_id, e.jockey_id, e.horse_number, r.race_date, r.start_at, r.venue, r.surface,
     case when contains(r.surface, '芝') then 'turf' when contains(r.surface, 'ダート') then 'dirt' else 'other' end as sc,
     r.distance_meters as dist, r.track_condition as cond, i.as_of_at
   from r_entries e join r_races r on e.race_id = r.race_id cross join instants i
   where r.available_at <= i.as_of_at and e.available_at <= i.as_of_at),
-past as (
+past as materialized (
   select v.*, x.finish_position as pos, x.finish_status as fs, x.finish_time_ms as ms,
     x.available_at as ra, x.observed_at as ro
   from vis v join r_results x on x.entry_id = v.entry_id where x.available_at <= v.as_of_at)"""
@@ -82,7 +82,7 @@ def _rate(part: str, whole: str) -> str:
 
 
 _HORSE = f"""
-hagg as (
+hagg as materialized (
   select t.entry_id, t.as_of_at,
     count(p.entry_id) as n,
     date_diff('day', arg_max(p.race_date, p.start_at), any_value(t.race_date)) as days,
@@ -109,9 +109,9 @@ hf as (
 
 # Earlier starts as a frame that ends before the row's own instant: a self join of a jockey's starts takes too long.
 _JOCKEY = f"""
-hist as (
+hist as materialized (
   select v.*, p.pos, p.ra, p.ro from vis v left join past p on p.entry_id = v.entry_id and p.as_of_at = v.as_of_at),
-jagg as (
+jagg as materialized (
   select entry_id, as_of_at,
     count(ra) over at_venue as v_n, count(ra) filter (pos = 1) over at_venue as v_1, count(ra) filter (pos <= 3) over at_venue as v_3,
     count(ra) over at_dist as d_n, count(ra) filter (pos = 1) over at_dist as d_1, count(ra) filter (pos <= 3) over at_dist as d_3,
@@ -132,7 +132,7 @@ jf as (
   from vis v join jagg j on v.entry_id = j.entry_id and v.as_of_at = j.as_of_at)"""
 
 _FEATURES = f"""{_HORSE},{_JOCKEY},
-feat as (
+feat as materialized (
   select hf.*, jf.* exclude (entry_id, race_id, horse_id, jockey_id, as_of_at)
   from hf join jf on hf.entry_id = jf.entry_id and hf.as_of_at = jf.as_of_at)"""
 
@@ -528,7 +528,7 @@ select entry_id, model_version, as_of_at, prediction_score, rank_in_race
 from (select *, row_number() over (partition by entry_id order by as_of_at desc, model_version desc) as rn from preds) x where rn = 1""",
     "used_snapshots": f"""{_UP_TO_PREDICTIONS}
 select run_id, feature_key, as_of_at, count(*) as predictions,
-  max(entry_id || ':' || feature_key || ':1:' || strftime(as_of_at, '%Y-%m-%dT%H:%M:%SZ')) as last_id
+  max(entry_id || ':' || feature_key || ':1:' || epoch_us(as_of_at)) as last_id
 from preds cross join (values {", ".join(f"('{f.key}')" for f in registry.ALL)}) k(feature_key) group by all""",
     "evaluations": f"{_UP_TO_EVALUATIONS} select * from evals",
     "evaluation_counts": f"""{_UP_TO_EVALUATIONS}
@@ -675,3 +675,134 @@ select 'batch@' || strftime(as_of_at, '%Y-%m-%d') as batch_id, as_of_at as start
 from vis group by all order by started_at desc limit 20"""
 ORACLES["import_batch_detail"] = f"""
 select * exclude (line), 'b1' as batch_id from ({ORACLES["import_errors"]}) where row_number % 3 = 1"""
+
+_JOB_RUN = f"case when as_of_at = timestamp '{EARLY} 00:00:00' then 'early' else 'late again' end"
+ORACLES["upsert_predictions"] = f"""{_BOTH_FEATURES},{_PREDICTIONS},{_ALL_COMPONENTS}
+select p.prediction_id, {_JOB_RUN.replace("as_of_at", "p.as_of_at")} as run_id, 'rule_based' as prediction_type, p.model_version, p.race_id,
+  p.entry_id, p.as_of_at, p.prediction_score, p.rank_in_race, coalesce(c.n, 0) as component_count,
+  p.as_of_at as snapshot_as_of_at, 1 as snapshot_version
+from preds p left join (select entry_id, as_of_at, count(*) as n from comps where model_version = 'rule-based-v1' group by all) c
+  on c.entry_id = p.entry_id and c.as_of_at = p.as_of_at
+where p.model_version = 'rule-based-v1'"""
+ORACLES["upsert_evaluations"] = f"""{_UP_TO_EVALUATIONS}
+select e.* replace (case when e.run_id like '%@{EARLY}' then 'early' else 'late' end as run_id), p.as_of_at
+from evals e join preds p on p.prediction_id = e.prediction_id where e.run_id like 'rule-based-v1@%'"""
+ORACLES["job_runs"] = f"""{_BOTH},
+made as (select as_of_at, count(*) as n from vis group by as_of_at)
+select {_JOB_RUN} as run, 'succeeded' as status, 'import' as mode, as_of_at, n as total_count, n as success_count, 0 as failure_count,
+  case when as_of_at = timestamp '{EARLY} 00:00:00' then n else 0 end as inserted,
+  case when as_of_at = timestamp '{EARLY} 00:00:00' then 0 else n end as updated from made
+union all select 'late', 'succeeded', 'import', as_of_at, n, n, 0, n, 0 from made where as_of_at = timestamp '{LATE} 00:00:00'
+union all select strftime(as_of_at, '%Y-%m-%d'), 'succeeded', 'import', as_of_at, n * 23, n * 23, 0, n * 23, 0 from made"""
+ORACLES["feature_definitions"] = f"""{_BOTH_FEATURES},
+known as (select feature_key, count(value_number) + count(value_boolean) as n from {_long('feat')} x group by feature_key)
+select d.feature_key, 1 as version, d.value_type, n as value_count
+from (values {", ".join(f"('{f.key}', '{f.value_type}')" for f in registry.ALL)}) d(feature_key, value_type) join known k on k.feature_key = d.feature_key"""
+_CLOSURE = f"""{_TABLES},
+lost as (
+  select e.*, concat_ws(', ', case when {_FAULTY.replace("race_id", "e.race_id")} then 'source_race_id=R' || e.race_id end,
+    case when e.horse_id % 89 = 0 then 'source_horse_id=X' || e.horse_id end,
+    case when e.jockey_id % 37 = 0 then 'source_jockey_id=X' || e.jockey_id end) as missing from r_entries e),
+closure as (
+  select 'races.sample.csv' as file_name, 'race' as entity_type, 'R' || race_id as source_id, 'VALIDATION_ERROR' as error_code, error_message
+  from ({" union all ".join(f"select race_id, '{column}: {reason}' as error_message from r_races where race_id % {by} = 0" for column, by, reason in _FAULTS)})
+  union all select 'race_entries.sample.csv', 'race_entry', 'E' || entry_id, 'REFERENCE_ERROR', missing from lost where missing <> ''
+  union all select 'race_results.sample.csv', 'race_result', 'Z' || x.entry_id, 'REFERENCE_ERROR', 'source_entry_id=E' || x.entry_id
+  from r_results x join lost l on l.entry_id = x.entry_id where missing <> '')"""
+ORACLES["partial_import"] = f"with {_CLOSURE} select * from closure"
+ORACLES["import_dry_run"] = f"""with {_CLOSURE},
+files as ({ORACLES["import_summary"]}),
+failed as (select count(*) filter (error_code = 'VALIDATION_ERROR') as whole, count(distinct source_id) as partial from closure)
+select b.batch_id, 'dry_run' as mode, b.status, b.provider_code, (select sum(read) from files)::bigint as total_rows, 0 as inserted_rows,
+  case b.batch_id when 'whole' then whole else partial end as failed_rows, file, entity_type, read, valid, 0 as upserted
+from files, failed, (values ('whole', 'failed', 'csv'), ('partial', 'succeeded', 'star')) b(batch_id, status, provider_code)"""
+_SEEN = f"""{_RACES},
+stored as (
+  select race_date, venue, race_number, min(race_id) as race_id, arg_max(name, race_id) as name, arg_max(status, race_id) as status,
+    arg_max(observed_at, race_id) as observed_at
+  from r_races where status = 'confirmed' group by race_date, venue, race_number),
+seen as (
+  select race_date, venue, race_number, race_id, name || ' (seen)' as name, status,
+    case when race_id % 3 = 0 then observed_at - interval 30 day else observed_at end as observed_at from r_races),
+last as (
+  select *, min(race_id) over (partition by race_date, venue, race_number) as first_id from seen
+  qualify row_number() over (partition by race_date, venue, race_number order by observed_at desc, race_id desc) = 1)"""
+_SAME_RACE = "s.race_date = l.race_date and s.venue = l.venue and s.race_number = l.race_number"
+ORACLES["upsert_newer"] = f"""with {_SEEN}
+select l.race_date, l.venue, l.race_number, coalesce(s.race_id, l.first_id) as race_id,
+  case when s.observed_at > l.observed_at then s.name else l.name end as name,
+  case when s.observed_at > l.observed_at then s.status else l.status end as status,
+  case when s.observed_at > l.observed_at then s.observed_at else l.observed_at end as observed_at
+from last l left join stored s on {_SAME_RACE}"""
+ORACLES["upsert_newer_counts"] = f"""with {_SEEN},
+met as (select l.*, s.observed_at as was from seen l left join stored s on {_SAME_RACE})
+select (select count(distinct (race_date, venue, race_number)) from met where was is null) as inserted,
+  (select count(*) from met where was is null or observed_at >= was) - (select count(distinct (race_date, venue, race_number)) from met where was is null) as updated,
+  (select count(*) from met where observed_at < was) as skipped"""
+
+ORACLES["near_distance"] = f"""{_ONE}
+select t.entry_id, t.race_id, t.horse_id, t.jockey_id, min(p.ms) as horse_best_time_near_distance_ms,
+  count(p.ms) as horse_best_time_near_distance_count
+from vis t left join past p on p.horse_id = t.horse_id and p.start_at < t.start_at and p.sc = t.sc
+  and abs(p.dist - t.dist) <= 200 and p.fs = 'finished' and p.ms is not null
+group by all"""
+# Every entry is asked for as of its own race's start.
+_OWN_START = f"""
+vis as materialized (
+  select e.entry_id, e.race_id, e.horse_id, e.jockey_id, r.race_date, r.start_at, r.venue,
+    case when contains(r.surface, '芝') then 'turf' when contains(r.surface, 'ダート') then 'dirt' else 'other' end as sc,
+    r.distance_meters as dist, r.track_condition as cond, r.start_at as as_of_at, greatest(r.available_at, e.available_at) as shown
+  from r_entries e join r_races r on e.race_id = r.race_id),
+past as materialized (
+  select v.*, x.finish_position as pos, x.finish_status as fs, x.finish_time_ms as ms, x.available_at as ra, x.observed_at as ro
+  from vis v join r_results x on x.entry_id = v.entry_id where x.available_at <= timestamp '{LATE} 00:00:00'),
+""" + _HORSE.strip().replace("p.as_of_at = t.as_of_at and p.start_at < t.start_at", "p.start_at < t.start_at and p.ra <= t.start_at and p.shown <= t.start_at")
+ORACLES["training_table"] = f"""with {_TABLES},{_OWN_START},
+jockeys as (
+  select t.entry_id,
+    count(p.ra) filter (p.venue = t.venue) as v_n, count(p.ra) filter (p.venue = t.venue and p.pos = 1) as v_1,
+    count(p.ra) filter (p.venue = t.venue and p.pos <= 3) as v_3, count(p.ra) filter (p.dist = t.dist) as d_n,
+    count(p.ra) filter (p.dist = t.dist and p.pos = 1) as d_1, count(p.ra) filter (p.dist = t.dist and p.pos <= 3) as d_3
+  from vis t left join past p on p.jockey_id = t.jockey_id and p.start_at < t.start_at and p.ra <= t.start_at and p.shown <= t.start_at
+    and (p.venue = t.venue or p.dist = t.dist)
+  group by t.entry_id),
+feat as (
+  select h.*, v_n as jockey_venue_starts, v_1 as jockey_venue_wins, v_3 as jockey_venue_top3,
+    {_rate('v_1', 'v_n')} as jockey_venue_win_rate, {_rate('v_3', 'v_n')} as jockey_venue_top3_rate,
+    d_n as jockey_distance_starts, d_1 as jockey_distance_wins, d_3 as jockey_distance_top3,
+    {_rate('d_1', 'd_n')} as jockey_distance_win_rate, {_rate('d_3', 'd_n')} as jockey_distance_top3_rate
+  from hf h join jockeys j on j.entry_id = h.entry_id)
+select f.entry_id, f.race_id, f.horse_id, f.jockey_id, f.as_of_at, {_columns('')}, p.pos as label_finish_position,
+  case when p.entry_id is not null then coalesce(p.pos = 1, false) end as label_is_win,
+  case when p.entry_id is not null then coalesce(p.pos <= 3, false) end as label_is_top3
+from feat f join vis v on v.entry_id = f.entry_id left join past p on p.entry_id = f.entry_id
+where v.shown <= v.start_at and v.start_at <= timestamp '{LATE} 00:00:00'"""
+_RANKED = f"""{_UP_TO_BASE},
+seen as (select b.*, e.finish_position, p.prediction_score from base b join preds p on p.prediction_id = b.prediction_id
+  left join evals e on e.prediction_id = b.prediction_id)"""
+ORACLES["rank_diff_median"] = f"""{_RANKED}
+select model_version, count(rank_diff) as evaluated_prediction_count, median(rank_diff)::double as median_rank_diff
+from seen where rank_diff is not null group by model_version"""
+ORACLES["position_by_rank"] = f"""{_RANKED}
+select model_version, rank_in_race, count(*) as placed_count, {_r4("sum(finish_position)::double / count(*)")} as average_finish_position
+from seen where finish_position is not null group by all"""
+ORACLES["score_bands"] = f"""{_RANKED}
+select model_version, (floor(prediction_score / 10) * 10)::int as score_from, count(*) as evaluated_prediction_count,
+  count(*) filter (finish_position <= 3) as top3_count, {_r4("count(*) filter (finish_position <= 3)::double / count(*)")} as top3_rate
+from seen where done group by all"""
+_LEVELS = " union all ".join(
+    f"select model_version, '{level}' as level, {value} as level_value, {_METRICS} from placed_base group by all"
+    for level, value in (
+        ("all", "null::varchar"), ("venue", "venue"), ("surface_class", "sc"),
+        ("distance_band", "case when dist < 1400 then 'short' when dist < 2000 then 'middle' else 'long' end"),
+    )
+)
+ORACLES["version_report"] = f"""{_UP_TO_BASE},
+placed_base as (select b.*, r.venue, r.distance_meters as dist,
+    case when contains(r.surface, '芝') then 'turf' when contains(r.surface, 'ダート') then 'dirt' else 'other' end as sc
+  from base b join r_races r on r.race_id = b.race_id)
+select * exclude (top1_evaluated_race_count), {_SMALL} from ({_LEVELS}) x"""
+
+ORACLES["races_page_after"] = f"""with {_RACES}
+select race_id, race_date, venue, race_number, name, start_at as scheduled_start_at, surface, distance_meters, status, observed_at
+from r_races where start_at >= timestamp '1996-01-01 00:00:00' order by start_at, race_number, race_id limit 12 offset 1"""

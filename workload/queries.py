@@ -17,7 +17,7 @@ from furlong.sources import csv_bundle, star_schema
 from furlong.sources.csv_bundle import BUNDLE
 from furlong.sources.scoring_config import BUILT_IN
 from furlong.sources.store import last_state
-from workload import bundle, stages
+from workload import bundle, jobs, stages
 from workload.stages import CONFIGS, EARLY, INSTANTS, LATE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +210,17 @@ def days_since_last(spark, folder):
     return rows.select("entry_id", "horse_days_since_last_race", "horse_is_after_layoff_8w")
 
 
+@query
+def near_distance(spark, folder):
+    return features.near_distance_rows(stages.tables(spark, folder), [LATE]).drop("as_of_at")
+
+
+@query
+def training_table(spark, folder):
+    """Features as of each race's own start, with labels known at the later instant."""
+    return features.training_rows(stages.tables(spark, folder), LATE)
+
+
 @query
 def latest_features(spark, folder):
     """Newest snapshot per entry and feature up to the end of 1998-12-31, of two generations."""
@@ -329,6 +340,59 @@ def evaluation_counts(spark, folder):
     return evaluation.evaluation_counts(rows, stored, early)
 
 
+@query
+def upsert_predictions(spark, folder):
+    """Predictions as the jobs leave them: the later run was repeated under another id."""
+    rows = jobs.worked(spark, folder).table("predictions")
+    return rows.select(
+        "prediction_id", "run_id", "prediction_type", "model_version", F.col("race_id").cast("bigint").alias("race_id"),
+        F.col("entry_id").cast("bigint").alias("entry_id"), "as_of_at", "prediction_score", "rank_in_race",
+        F.size("score_components.components").alias("component_count"), "snapshot_as_of_at", "snapshot_version",
+    )
+
+
+@query
+def upsert_evaluations(spark, folder):
+    """Evaluations as the jobs leave them: updated after the repetition, under the run they were first made for."""
+    rows = jobs.worked(spark, folder).table("evaluations")
+    whole = {name: F.col(name).cast("bigint") for name in ("race_id", "entry_id", "winner_entry_id", "top_entry_id")}
+    return rows.withColumns(whole).drop("evaluated_at")
+
+
+@query
+def job_runs(spark, folder):
+    """What the prediction and feature jobs recorded about themselves."""
+    store = jobs.worked(spark, folder)
+    shown = ["status", "mode", "as_of_at", "total_count", "success_count", "failure_count", "inserted", "updated"]
+    runs = store.history("prediction_runs").select(F.col("run_id").alias("run"), *shown)
+    batches = store.history("feature_batches").select(F.date_format("as_of_at", "yyyy-MM-dd").alias("run"), *shown)
+    return runs.unionByName(batches)
+
+
+@query
+def import_dry_run(spark, folder):
+    """Per file what two dry runs read and found valid: one rejects the bundle, one leaves out faulty rows."""
+    batch = jobs.imported(spark, folder).history("import_batches")
+    return batch.select("batch_id", "mode", "status", "provider_code", "total_rows", "inserted_rows", "failed_rows", F.inline("summary"))
+
+
+@query
+def partial_import(spark, folder):
+    """The errors of a partial import: faulty rows, what refers to them, and what refers to that."""
+    errors = jobs.imported(spark, folder).import_errors().filter("batch_id = 'partial'")
+    return errors.select("file_name", "entity_type", F.trim("source_id").alias("source_id"), "error_code", "error_message")
+
+
+@query
+def feature_definitions(spark, folder):
+    """Every registered feature, as the job stored it, with the entries that have a value for it."""
+    store = jobs.worked(spark, folder)
+    values = features.to_long(store.table("feature_rows")).filter(F.coalesce("value_number", F.col("value_boolean").cast("int")).isNotNull())
+    counted = values.groupBy("feature_definition_id").agg(F.count("*").alias("value_count"))
+    known = store.table("feature_definitions").select("feature_definition_id", "feature_key", "version", "value_type")
+    return known.join(counted, "feature_definition_id", "left").drop("feature_definition_id")
+
+
 # --- analytics ---------------------------------------------------------------
 
 
@@ -370,6 +434,27 @@ def analytics_by_version(spark, folder):
     return analytics.by_version(_base(spark, folder))
 
 
+@query
+def rank_diff_median(spark, folder):
+    return analytics.rank_diff_median(_base(spark, folder))
+
+
+@query
+def position_by_rank(spark, folder):
+    return analytics.position_by_rank(_base(spark, folder))
+
+
+@query
+def score_bands(spark, folder):
+    return analytics.score_bands(_base(spark, folder))
+
+
+@query
+def version_report(spark, folder):
+    """All levels at once: every version over all races, by venue, by distance band, by surface."""
+    return analytics.version_report(_base(spark, folder), stages.tables(spark, folder).races)
+
+
 @query
 def version_comparison(spark, folder):
     return analytics.version_comparison(analytics.by_version(_base(spark, folder)))
@@ -435,6 +520,15 @@ def races_page(spark, folder):
     return reports.races_page(stages.tables(spark, folder).races, 3, venue="EUROPE")
 
 
+@query
+def races_page_after(spark, folder):
+    """The page behind the first race of 1996, found by its key and not by counting pages."""
+    races = stages.tables(spark, folder).races
+    key = F.struct("scheduled_start_at", "race_number", "race_id")
+    last = races.filter(F.col("scheduled_start_at") >= F.lit("1996-01-01").cast("timestamp")).agg(F.min(key).alias("key")).first()
+    return reports.races_page_after(races, last["key"].asDict())
+
+
 @query
 def filter_options(spark, folder):
     return reports.filter_options(stages.tables(spark, folder).races, stages.runs(spark, folder))
@@ -580,7 +674,9 @@ def _valid(spark, folder) -> dict[str, DataFrame]:
 @query
 def resolve_references(spark, folder):
     """Accepted rows and reference errors of entries and results."""
-    resolved, errors = ingest.resolve(_valid(spark, folder))
+    resolved, errors = ingest.resolve(
+        _valid(spark, folder), lambda name, rows: stages.stage(spark, folder, name, lambda: rows)
+    )
     entries = resolved["race_entries"].select(
         F.lit("race_entry").alias("entity_type"), F.col("source_entry_id").alias("source_id"),
         F.concat_ws("|", "entry_id", "race_id", "horse_id", "jockey_id", "trainer_id").alias("outcome"),
@@ -650,6 +746,31 @@ def upsert_counts(spark, folder):
     return merge.merge_counts(_old_races(spark, folder), _new_races(spark, folder), _RACE_KEY)
 
 
+def _observed(races: DataFrame) -> DataFrame:
+    return races.select("race_id", *_RACE_KEY, "name", "status", "observed_at", F.col("race_id").alias("order"))
+
+
+def _stored_and_seen(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Confirmed races as stored; all races again, every third of them observed a month earlier."""
+    races = stages.tables(spark, folder).races
+    earlier = F.when(F.col("race_id") % 3 == 0, F.expr("observed_at - interval 30 days")).otherwise(F.col("observed_at"))
+    stored = merge.fold_repeats(_observed(races.filter("status = 'confirmed'")), _RACE_KEY, "order", ["race_id"]).drop("order")
+    return stored, _observed(races.withColumns({"observed_at": earlier, "name": F.concat("name", F.lit(" (seen)"))}))
+
+
+@query
+def upsert_newer(spark, folder):
+    """The row observed last of each race, unless the stored one was observed later."""
+    stored, seen = _stored_and_seen(spark, folder)
+    last = merge.fold_repeats(seen, _RACE_KEY, "order", ["race_id"], F.struct("observed_at", "order")).drop("order")
+    return merge.merge(stored, merge.seen_later(stored, last, _RACE_KEY), _RACE_KEY, keep=["race_id"])
+
+
+@query
+def upsert_newer_counts(spark, folder):
+    return merge.seen_later_counts(*_stored_and_seen(spark, folder), _RACE_KEY)
+
+
 def _run_horses(spark, folder) -> DataFrame:
     """Horses that have run, renamed after their number of starts."""
     started = stages.tables(spark, folder).entries.filter(F.col("status") == "running")
