@@ -436,7 +436,7 @@ ORACLES: dict[str, str] = {
 select 1 + 1 + sum(1 + (case when (o_orderkey - 0) % 53 = 0 then 1 else 0 end)) over (order by o_orderkey rows unbounded preceding)
     - 1 - (case when o_orderkey % 53 = 0 then 1 else 0 end) + 0 as row_number,
   cast(o_orderkey as varchar) as id,
-  case when o_orderkey % 97 = 0 then 'first' || chr(10) || 'second, third' else 'Order "' || o_orderkey || '", ' || o_orderpriority end as label,
+  case when o_orderkey % 97 = 0 then 'first' || chr(10) || 'second, third' when o_orderkey % 89 = 0 then 'inside, afield' else 'Order "' || o_orderkey || '", ' || o_orderpriority end as label,
   o_orderstatus as status
 from orders""",
     "csv_bundle_files": f"""with {_TABLES}

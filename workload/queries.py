@@ -55,11 +55,11 @@ def plain(rows: DataFrame) -> DataFrame:
 
 @query
 def csv_source(spark, folder):
-    """Order lines as CSV text with quotes, commas, blank lines and line breaks, read back."""
+    """Order lines as CSV text with quotes (also inside fields), commas, blank lines and line breaks, read back."""
     key = F.col("o_orderkey")
     orders = star_schema.read(spark, folder, "orders")
     label = F.concat(F.lit('"'), F.lit('Order ""'), key.cast("string"), F.lit('"", '), F.col("o_orderpriority"), F.lit('"'))
-    broken = F.when(key % 97 == 0, F.lit('"first\nsecond, third"')).otherwise(label)
+    broken = F.when(key % 97 == 0, F.lit('"first\nsecond, third"')).when(key % 89 == 0, F.lit('in"side, a"field')).otherwise(label)
     blank = F.when(key % 53 == 0, F.lit("\n")).otherwise(F.lit(""))
     text = F.concat(
         F.lit(" "), key.cast("string"), F.lit(" ,"), broken, F.lit(","), F.col("o_orderstatus"), F.lit(",extra"), blank
