@@ -95,7 +95,8 @@ def race_card(
         F.col("status").alias("result_status"),
     )
     latest = latest_feature_rows(feature_rows).select(
-        "entry_id", F.col("as_of_at").alias("features_as_of_at"), *[f.column for f in registry.ALL]
+        "entry_id", F.col("as_of_at").alias("features_as_of_at"), F.col("generated_at").alias("features_generated_at"),
+        *[f.column for f in registry.ALL],
     )
     predicted = latest_predictions(
         predictions.select("entry_id", "prediction_id", "model_version", "as_of_at", "prediction_score", "rank_in_race")
@@ -122,7 +123,7 @@ def race_card(
             body_weight_label(F.col("body_weight"), F.col("body_weight_diff")).alias("body_weight_label"),
             race_time_label(F.col("finish_time_milliseconds")).alias("finish_time_label"),
             finish_label(F.col("finish_position"), F.col("finish_status")).alias("finish_label"),
-            "features_as_of_at", *[f.column for f in registry.ALL],
+            "features_as_of_at", "features_generated_at", *[f.column for f in registry.ALL],
             "prediction_score", "rank_in_race", "prediction_as_of_at",
         )
     )
@@ -217,7 +218,7 @@ def prediction_detail(
     evaluated = evaluations.select(
         "prediction_id", "finish_position", "finish_status", "is_predicted_top1",
         "top_prediction_finish_position", "top_prediction_is_top3", "is_actual_winner",
-        "actual_winner_in_predicted_top3", "rank_diff",
+        "actual_winner_in_predicted_top3", "rank_diff", "evaluated_at",
     )
     return (
         kept.select(

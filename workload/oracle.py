@@ -583,7 +583,7 @@ select e.race_id, e.entry_id, 1 + (e.horse_number - 1) % 8 as frame_number, e.ho
   'Trainer ' || e.trainer_id as trainer_name, case when e.trainer_id % 2 = 0 then '美浦' else '栗東' end as trainer_affiliation,
   x.finish_position, x.finish_status, x.finish_time_ms as finish_time_milliseconds, cast(x.final_odds as double) as final_odds,
   x.status as result_status, {_WEIGHT_LABEL} as body_weight_label, {_TIME_LABEL} as finish_time_label, {_FINISH_LABEL} as finish_label,
-  lf.as_of_at as features_as_of_at, {_columns('', 'lf.')}, lp.prediction_score, lp.rank_in_race, lp.as_of_at as prediction_as_of_at
+  lf.as_of_at as features_as_of_at, lf.as_of_at + interval 1 hour as features_generated_at, {_columns('', 'lf.')}, lp.prediction_score, lp.rank_in_race, lp.as_of_at as prediction_as_of_at
 from r_entries e join part on p_partkey = e.horse_id join supplier on s_suppkey = e.jockey_id
 left join r_results x on x.entry_id = e.entry_id left join lf on lf.entry_id = e.entry_id left join lp on lp.entry_id = e.entry_id""",
     "feature_batch_detail": f"""{_BOTH}
@@ -602,7 +602,7 @@ from preds p left join evals e on e.prediction_id = p.prediction_id group by p.r
 select p.prediction_id, p.entry_id, p.race_id, p.horse_id, p.jockey_id, p.run_id, p.prediction_score, p.rank_in_race,
   r.race_date, r.venue, r.race_number, r.name as race_name, n.horse_number, p_name as horse_name, s_name as jockey_name,
   e.finish_position, e.finish_status, e.is_predicted_top1, e.top_prediction_finish_position, e.top_prediction_is_top3,
-  e.is_actual_winner, e.actual_winner_in_predicted_top3, e.rank_diff
+  e.is_actual_winner, e.actual_winner_in_predicted_top3, e.rank_diff, e.result_available_at + interval 1 day as evaluated_at
 from preds p join r_races r on r.race_id = p.race_id join r_entries n on n.entry_id = p.entry_id join part on p_partkey = p.horse_id
 left join supplier on s_suppkey = p.jockey_id left join evals e on e.prediction_id = p.prediction_id""",
     "race_summary": f"""{_UP_TO_EVALUATIONS}
@@ -806,3 +806,25 @@ select * exclude (top1_evaluated_race_count), {_SMALL} from ({_LEVELS}) x"""
 ORACLES["races_page_after"] = f"""with {_RACES}
 select race_id, race_date, venue, race_number, name, start_at as scheduled_start_at, surface, distance_meters, status, observed_at
 from r_races where start_at >= timestamp '1996-01-01 00:00:00' order by start_at, race_number, race_id limit 12 offset 1"""
+
+
+def _broken(key: str, faults: list[tuple[str, int]]) -> str:
+    """The columns that fail, in the order of the rules."""
+    return "concat_ws(',', " + ", ".join(f"case when {key} % {by} = 0 then '{column}' end" for column, by in faults) + ")"
+
+
+# A horse divisible by 89 is written under another letter, which changes nothing here.
+ORACLES["validate_entries"] = f"""with {_ENTRIES}
+select 'E' || entry_id as source_id,
+  {_broken("horse_id", [("observed_at", 31), ("source_jockey_id", 29), ("frame_number", 7), ("horse_number", 11), ("assigned_weight", 13), ("body_weight", 17), ("body_weight_diff", 19), ("status", 23)])} as failed_columns,
+  case when horse_id % 7 <> 0 then 1 + (horse_number - 1) % 8 end as frame_number, case when horse_id % 11 <> 0 then horse_number end as horse_number,
+  case when horse_id % 13 <> 0 then assigned_weight::double end as assigned_weight, case when horse_id % 17 <> 0 then body_weight end as body_weight,
+  case when horse_id % 19 <> 0 then body_weight_diff end as body_weight_diff, case when horse_id % 23 <> 0 then status end as status
+from r_entries"""
+ORACLES["validate_results"] = f"""with {_ENTRIES}
+select 'Z' || entry_id as source_id,
+  {_broken("entry_id", [("finish_position", 7), ("finish_status", 11), ("finish_time_milliseconds", 13), ("final_odds", 17), ("popularity", 19), ("status", 23)])} as failed_columns,
+  case when entry_id % 7 <> 0 then finish_position end as finish_position, case when entry_id % 11 <> 0 then finish_status end as finish_status,
+  case when entry_id % 13 <> 0 then finish_time_ms end as finish_time_milliseconds, case when entry_id % 17 <> 0 then final_odds::double end as final_odds,
+  null::bigint as popularity, case when entry_id % 23 <> 0 then status end as status
+from r_results"""

@@ -114,6 +114,27 @@ def validate_rows(spark, folder):
     )
 
 
+def _failed_columns(rows: DataFrame, source_id: str) -> DataFrame:
+    failed = F.transform("issues", lambda text: F.substring_index(text, ":", 1))
+    return rows.withColumn("failed_columns", F.array_join(failed, ",")).withColumn("source_id", F.trim(source_id))
+
+
+@query
+def validate_entries(spark, folder):
+    rows = ingest.validate(bundle.faulty_entry_texts(stages.tables(spark, folder)), "race_entries")
+    return _failed_columns(rows, "_source_id").select(
+        "source_id", "failed_columns", "frame_number", "horse_number", "assigned_weight", "body_weight", "body_weight_diff", "status"
+    )
+
+
+@query
+def validate_results(spark, folder):
+    rows = ingest.validate(bundle.faulty_result_texts(stages.tables(spark, folder)), "race_results")
+    return _failed_columns(rows, "_source_id").select(
+        "source_id", "failed_columns", "finish_position", "finish_status", "finish_time_milliseconds", "final_odds", "popularity", "status"
+    )
+
+
 @query
 def import_errors(spark, folder):
     rows = ingest.validate(bundle.race_texts(stages.tables(spark, folder)), "races")

@@ -59,7 +59,8 @@ def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
 
     def build() -> DataFrame:
         rows = features.feature_rows(tables(spark, folder), INSTANTS)
-        return rows.withColumn("batch_id", F.concat(F.lit("batch@"), F.date_format("as_of_at", "yyyy-MM-dd")))
+        batch = F.concat(F.lit("batch@"), F.date_format("as_of_at", "yyyy-MM-dd"))
+        return rows.withColumns({"batch_id": batch, "generated_at": F.expr("as_of_at + interval 1 hour")})
 
     return stage(spark, folder, "feature_rows", build)
 
@@ -95,6 +96,7 @@ def evaluation_rows(spark: SparkSession, folder: str) -> DataFrame:
         rows = evaluation.predictions_with_results(
             prediction_rows(spark, folder), runs(spark, folder), tables(spark, folder).results
         )
-        return evaluation.evaluate(rows, "race_id" in tables(spark, folder).hot)
+        evaluated = evaluation.evaluate(rows, "race_id" in tables(spark, folder).hot)
+        return evaluated.withColumn("evaluated_at", F.expr("result_available_at + interval 1 day"))
 
     return stage(spark, folder, "evaluations", build)
