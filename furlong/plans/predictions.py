@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +69,18 @@ def scored_rows(features: DataFrame, configs: Sequence[ScoringConfig]) -> DataFr
     return spread.withColumn("score", total).drop("low", "high")
 
 
+def scores_side_by_side(features: DataFrame, configs: Mapping[str, ScoringConfig]) -> DataFrame:
+    """The score under every configuration in a column of its own; no row is repeated and nothing moves."""
+    # The adjustments first, through ``inline``, so each rule is evaluated once.
+    rules = F.struct(*[scoring.adjustments(config).alias(name) for name, config in configs.items()])
+    found = features.select("entry_id", F.inline(F.array(rules)))
+    scores = [
+        scoring.score(F.lit(config.base), F.lit(config.low), F.lit(config.high), F.col(name)).alias(name)
+        for name, config in configs.items()
+    ]
+    return found.select("entry_id", *scores)
+
+
 def score_detail(configs: Sequence[ScoringConfig]) -> Column:
     """Base score, version, components and note of a row from ``scored_rows``."""
     version = F.col("model_version")

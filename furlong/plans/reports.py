@@ -250,17 +250,22 @@ def reasons(components: Column, positive: bool, limit: int = REASON_LIMIT) -> Co
     placed = F.transform(
         components,
         lambda item, place: F.struct(
-            (-item["adjustment"] * sign).alias("weight"),
-            place.alias("place"),
-            F.coalesce(item["key"], F.lit(UNKNOWN_KEY)).alias("key"),
-            F.coalesce(item["label"], F.lit(DEFAULT_LABEL)).alias("label"),
-            item["adjustment"].alias("adjustment"),
-            F.coalesce(item["reason"], F.lit(DEFAULT_REASON)).alias("reason"),
+            (-item["adjustment"] * sign).alias("weight"), place.alias("place")
         ),
     )
-    # The weight is negative for the wanted direction, so plain ascending order fits.
+    # The weight is negative for the wanted direction, so plain ascending order fits. Texts are looked up for what is left.
     wanted = F.filter(placed, lambda item: (item["weight"] < 0) & (item["weight"] > float("-inf")))
-    return F.slice(F.array_sort(wanted), 1, limit)
+
+    def described(item: Column) -> Column:
+        component = F.get(components, item["place"])
+        return F.struct(
+            F.coalesce(component["key"], F.lit(UNKNOWN_KEY)).alias("key"),
+            F.coalesce(component["label"], F.lit(DEFAULT_LABEL)).alias("label"),
+            component["adjustment"].alias("adjustment"),
+            F.coalesce(component["reason"], F.lit(DEFAULT_REASON)).alias("reason"),
+        )
+
+    return F.transform(F.slice(F.array_sort(wanted), 1, limit), described)
 
 
 def reason_rows(predictions: DataFrame, limit: int = REASON_LIMIT) -> DataFrame:
@@ -279,15 +284,26 @@ def reason_rows(predictions: DataFrame, limit: int = REASON_LIMIT) -> DataFrame:
     )
 
 
-def import_batches_page(batches: DataFrame, number: int, mode: str = "all", status: str = "all") -> DataFrame:
+def _kept_batches(batches: DataFrame, mode: str, status: str) -> DataFrame:
     conditions = []
     if mode != "all":
         conditions.append(F.col("mode") == mode)
     if status != "all":
         conditions.append(F.col("status") == status)
-    return page(
-        batches.filter(all_of(conditions)), [F.desc("started_at"), F.asc("batch_id")], number, HISTORY_PAGE_SIZE
-    )
+    return batches.filter(all_of(conditions))
+
+
+def import_batches_page(batches: DataFrame, number: int, mode: str = "all", status: str = "all") -> DataFrame:
+    order = [F.desc("started_at"), F.asc("batch_id")]
+    return page(_kept_batches(batches, mode, status), order, number, HISTORY_PAGE_SIZE)
+
+
+def import_batches_totals(batches: DataFrame, mode: str = "all", status: str = "all") -> DataFrame:
+    return page_totals(_kept_batches(batches, mode, status), HISTORY_PAGE_SIZE)
+
+
+def prediction_runs_totals(runs: DataFrame, status: str = "all") -> DataFrame:
+    return page_totals(runs if status == "all" else runs.filter(F.col("status") == status), HISTORY_PAGE_SIZE)
 
 
 def import_batch_errors(errors: DataFrame, batch_id: str) -> DataFrame:

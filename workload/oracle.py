@@ -828,3 +828,12 @@ select 'Z' || entry_id as source_id,
   case when entry_id % 13 <> 0 then finish_time_ms end as finish_time_milliseconds, case when entry_id % 17 <> 0 then final_odds::double end as final_odds,
   null::bigint as popularity, case when entry_id % 23 <> 0 then status end as status
 from r_results"""
+ORACLES["failed_runs"] = f"select * from ({ORACLES['prediction_runs_list']}) where status = 'failed'"
+ORACLES["list_totals"] = f"""{_UP_TO_PREDICTIONS},{_BATCHES},
+listed as (
+  select 'imports' as list_name, count(*) as total_count from batches
+  union all select 'succeeded imports', count(*) from batches where mode = 'import' and status = 'succeeded'
+  union all select 'failed dry runs', count(*) from batches where mode = 'dry_run' and status = 'failed'
+  union all select 'runs', count(*) from runs
+  union all select 'failed runs', count(*) from runs where status = 'failed')
+select list_name, total_count, greatest(1, ceil(total_count / 20))::bigint as total_pages from listed"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,10 +292,8 @@ def scores_v11(spark, folder):
 
 @query
 def version_scores(spark, folder):
-    rows = predictions.scored_rows(_late_features(spark, folder), CONFIGS)
-    return rows.groupBy("entry_id").pivot("model_version", [c.model_version for c in CONFIGS]).agg(F.first("score")).select(
-        "entry_id", F.col("`rule-based-v1`").alias("score_v1"), F.col("`rule-based-v1.1`").alias("score_v11")
-    )
+    both = {"score_v1": BUILT_IN["rule-based-v1"], "score_v11": BUILT_IN["rule-based-v1.1"]}
+    return predictions.scores_side_by_side(_late_features(spark, folder), both)
 
 
 @query
@@ -661,6 +660,27 @@ def import_batches_list(spark, folder):
     return reports.import_batches_page(_import_batches(spark, folder), 1, mode="import", status="succeeded")
 
 
+@query
+def list_totals(spark, folder):
+    """How many rows and pages the filtered lists of imports and of runs have."""
+    batches, runs = _import_batches(spark, folder), stages.runs(spark, folder)
+    listed = {
+        "imports": reports.import_batches_totals(batches),
+        "succeeded imports": reports.import_batches_totals(batches, mode="import", status="succeeded"),
+        "failed dry runs": reports.import_batches_totals(batches, mode="dry_run", status="failed"),
+        "runs": reports.prediction_runs_totals(runs),
+        "failed runs": reports.prediction_runs_totals(runs, status="failed"),
+    }
+    rows = [totals.select(F.lit(name).alias("list_name"), "*") for name, totals in listed.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def failed_runs(spark, folder):
+    """Failed runs, newest first, with how many of their predictions were evaluated."""
+    return reports.prediction_runs_page(stages.runs(spark, folder), stages.evaluation_rows(spark, folder), 1, "failed")
+
+
 @query
 def run_history(spark, folder):
     """Running and finished states of the imports; the last state of each remains."""
