@@ -18,6 +18,7 @@ Null texts count as empty and give no ids. Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import struct
@@ -44,8 +45,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], moves: int | None = None):
         self.ranks = ranks
+        self.most = MOVES if moves is None else moves
         self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
         self.edges = Bounded(self._edges, len(ranks) + 1)
         self.fits = Bounded(self._fits, PAIRS)
@@ -123,24 +125,34 @@ class Transducer:
         return move
 
     def _rest(self, state: int, rest: bytes) -> list[int]:
-        """The ids to the end of the piece, without making states: all live boundaries are followed at once."""
+        """The ids to the end of the piece, without making states: all live boundaries are followed at once.
+
+        A boundary has one last token, so it only remembers where that begins; the
+        tokens are read off from the end. Time and memory are linear in the piece.
+        """
         last, seen, live = self.states[state]
-        raw, paths = seen + rest, list(live.items())
+        raw, paths, known = seen + rest, list(live), len(seen)
+        lasts = {at: tokens[-1] if tokens else last for at, tokens in live.items()}
+        begins = array.array("l", bytes(8 * (len(raw) + 1)))
         ranks, openings, fits, edges = self.ranks, self.openings, self.fits, self.edges
-        for end in range(len(seen) + 1, len(raw) + 1):
-            following, found = [], None
-            for path in paths:
-                token = raw[path[0] : end]
-                if found is None and token in ranks and edges[token][0]:
-                    left = path[1][-1] if path[1] else last
+        for end in range(known + 1, len(raw) + 1):
+            following, found = [], False
+            for at in paths:
+                token = raw[at:end]
+                if not found and token in ranks and edges[token][0]:
+                    left = raw[begins[at] : at] if at > known else lasts[at]
                     if not left or fits[left, token]:
-                        found = end, (*path[1], token)
+                        begins[end], found = at, True
                 if token in openings:
-                    following.append(path)
+                    following.append(at)
             if found:
-                following.append(found)
+                following.append(end)
             paths = following
-        return [ranks[token] for token in paths[-1][1]]
+        at, out = paths[-1], []
+        while at > known:
+            out.append(ranks[raw[begins[at] : at]])
+            at = begins[at]
+        return [ranks[token] for token in live[at]] + out[::-1]
 
     def run(self, raw: bytes) -> list[int]:
         """The ids of a piece; each is written as soon as it is certain.
@@ -149,7 +161,7 @@ class Transducer:
         """
         if raw in self.ranks:
             return [self.ranks[raw]]
-        if len(self.moves) > MOVES or len(self.met) > 4 * MOVES:
+        if len(self.moves) > self.most or len(self.met) > 4 * self.most:
             self._forget()
         state, moves, out = 0, self.moves, []
         for at, byte in enumerate(raw):
@@ -207,26 +219,27 @@ def decode_stream(ids: Iterable[int], text: dict[int, bytes]) -> Iterator[str]:
 
 
 @functools.cache
-def tokenizer(path: str, pattern: str):
+def tokenizer(path: str, pattern: str, pieces: int, moves: int):
     """A worker's transducer, its table of pieces and its pattern."""
     remember("bpe", tokenizer.cache_clear)
-    transducer = Transducer(read_ranks(path))
+    transducer = Transducer(read_ranks(path), moves)
 
     def ids(piece: str) -> bytes:
         found = transducer.run(piece.encode())
         return struct.pack(f"<{len(found)}I", *found)
 
-    return transducer, Bounded(ids, PIECES), regex.compile(pattern)
+    return transducer, Bounded(ids, pieces), regex.compile(pattern)
 
 
-def encode_text(text: str | None, path: str, pattern: str) -> bytes:
+def encode_text(text: str | None, path: str, pattern: str, pieces: int = PIECES, moves: int = MOVES) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    _, pieces, cut = tokenizer(path, pattern)
-    return b"".join(map(pieces.__getitem__, cut.findall(text or "")))
+    _, known, cut = tokenizer(path, pattern, pieces, moves)
+    return b"".join(map(known.__getitem__, cut.findall(text or "")))
 
 
 @functools.cache
 def token_texts(path: str) -> dict[int, bytes]:
+    remember("bpe-decode", token_texts.cache_clear)
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
@@ -237,15 +250,18 @@ def decode_ids(ids: bytes, path: str, step: int = 1 << 16) -> str:
     return "".join([*out, machine.close()])
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` (binary: little-endian unsigned 32-bit) of every text."""
+def encode(docs: DataFrame, path: str, pattern: str, pieces: int = PIECES, moves: int = MOVES) -> DataFrame:
+    """``doc_id``, ``ids`` (binary: little-endian unsigned 32-bit) of every text.
+
+    Smaller tables of ``pieces`` and ``moves`` take less memory and more time; ids are the same.
+    """
 
     def step(batches):
         for batch in batches:
-            ids = [encode_text(text, path, pattern) for text in batch.column(1).to_pylist()]
+            ids = [encode_text(text, path, pattern, pieces, moves) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, ids binary", keeps="bpe")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, ids binary", keeps=("bpe", "bpe-decode"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,4 +272,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [decode_ids(ids or b"", path) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), step, "doc_id long, ids binary, text string", keeps="bpe")
+    return map_batches(encoded.select("doc_id", "ids"), step, "doc_id long, ids binary, text string", keeps=("bpe", "bpe-decode"))

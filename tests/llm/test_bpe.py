@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -71,3 +72,18 @@ def test_rows(spark, documents):
     rows = {(r["doc_id"], r["text"]) for r in bpe.decode(bpe.encode(docs, path, PATTERN), path).collect()}
     assert rows == {(1, "Hello wörld"), (2, ""), (3, ""), (None, "x")}
     assert bpe.encode(docs.limit(0), path, PATTERN).count() == 0
+
+
+def test_letters_without_a_break(both):
+    """A megabyte of one piece takes linear time."""
+    path, library = both
+    random.seed(6)
+    letters = "".join(random.choices("acgt", k=30_000))
+    assert ids(letters, path) == library.encode_ordinary(letters)
+    text = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    started = time.perf_counter()
+    found = bpe.encode_text(text, path, PATTERN)
+    assert time.perf_counter() - started < 10
+    assert bpe.decode_ids(found, path) == text
+    head = ids(text[:20_000], path)
+    assert head == library.encode_ordinary(text[:20_000]) and np.frombuffer(found, "<u4")[: len(head) - 20].tolist() == head[:-20]
