@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pathlib
 import tempfile
 import uuid
@@ -96,7 +98,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: tuple[str, ...] = ()) -> DataFrame:
     """``mapInArrow`` over batches of bounded size.
 
     Workers are used again by later tasks; what they remember for other steps than ``keeps`` is dropped.
@@ -119,9 +121,17 @@ def remember(name: str, clear: Callable) -> None:
     _remembered[name] = clear
 
 
-def forget(but: str) -> None:
-    for name in [name for name in _remembered if name != but]:
+def forget(but: tuple[str, ...]) -> None:
+    """Drops the tables of other steps and hands the memory back, which the next stage's tables need."""
+    used = [name for name in _remembered if name not in but]
+    for name in used:
         _remembered.pop(name)()
+    if used or not but:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
 
 
 class Bounded(dict):

@@ -1,11 +1,11 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
-A document's set holds its distinct shingles of three words (ASCII letters in
+A document's set holds its distinct shingles of a few words (ASCII letters in
 lower case), as 64-bit hashes; with fewer words the whole sequence is one
-shingle. ``HASHES`` permutations give a minimum and a maximum each, so
-signatures of twice that length for the price of ``HASHES``. ``BANDS`` bands
-of ``ROWS`` values: two sets at the least similarity, 0.85, miss each other in
-all bands with a probability of 4e-7.
+shingle. Each permutation gives a minimum and a maximum, so signatures of twice
+as many values as permutations, cut into bands of ``ROWS``. Two sets at the
+least similarity miss each other in all bands with a probability of 4e-7 at
+three words and 0.85 (``LIKE``) and 3e-7 at five words and 0.80.
 
 1. Documents with equal sets form a class, its smallest id stands for it.
 2. In every bucket (band value) of two or more, all are compared with the
@@ -28,6 +28,8 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,17 +39,30 @@ from pyspark.sql import functions as F
 from furlong.llm.common import Bounded, Scope, map_batches, maybe_in, words
 from furlong.llm.components import components
 
-SHINGLE = 3
-PERCENT = 85
-HASHES, BANDS, ROWS = 64, 25, 5
+ROWS = 5
 BLOCK = 256
 MEMO = 200_000
 RESERVED = -(1 << 62)
 
+MOST_HASHES = 128
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """Words of a shingle, least similarity, permutations (``MOST_HASHES`` at most), bands."""
+
+    shingle: int
+    percent: int
+    hashes: int
+    bands: int
+
+
+LIKE = Likeness(3, 85, 64, 25)
+
 _random = np.random.default_rng(20240)
-_FACTORS = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2)
-_MIX = _random.integers(0, 1 << 63, max(ROWS, SHINGLE), np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _random.integers(0, 1 << 63, MOST_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = _random.integers(0, 1 << 63, MOST_HASHES, np.uint64) * np.uint64(2)
+_MIX = _random.integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _STIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,45 +75,45 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, memo: Bounded) -> np.ndarray:
+def shingles(text: str | None, memo: Bounded, size: int = LIKE.shingle) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     found = [word.lower() for word in words(text)]
     hashes = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    if 0 < len(hashes) < SHINGLE:
+    if 0 < len(hashes) < size:
         return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes))], np.uint64)
-    mixed = np.zeros(max(0, len(hashes) - SHINGLE + 1), np.uint64)
-    for j in range(SHINGLE):
-        mixed = _stir(mixed + hashes[j : j + len(mixed)] * _MIX[j])
+    mixed = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
+    for j in range(size):
+        mixed = _stir(mixed + hashes[j : j + len(mixed)] * _MIX[j % len(_MIX)])
     return np.unique(mixed)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, hashes: int = LIKE.hashes) -> np.ndarray:
     """The minima, then the maxima, under all permutations."""
-    low, high = np.full(HASHES, ~np.uint64(0)), np.zeros(HASHES, np.uint64)
+    low, high = np.full(hashes, ~np.uint64(0)), np.zeros(hashes, np.uint64)
     for at in range(0, len(found), 1024):
-        values = (found[None, at : at + 1024] ^ _MASKS[:, None]) * _FACTORS[:, None]
+        values = (found[None, at : at + 1024] ^ _MASKS[:hashes, None]) * _FACTORS[:hashes, None]
         low, high = np.minimum(low, values.min(1)), np.maximum(high, values.max(1))
     return np.concatenate([low, high])
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int = LIKE.bands) -> np.ndarray:
     """One key per band; keys of different bands differ."""
-    rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+    rows = values[: bands * ROWS].reshape(bands, ROWS)
+    key = np.arange(bands, dtype=np.uint64)
     for j in range(ROWS):
         key = _stir(key + rows[:, j] * _MIX[j])
     return key.view(np.int64)
 
 
-def similar(left: np.ndarray, right: np.ndarray) -> bool:
-    """100 * intersection >= PERCENT * union, on sorted distinct hashes."""
+def similar(left: np.ndarray, right: np.ndarray, percent: int = LIKE.percent) -> bool:
+    """100 * intersection >= percent * union, on sorted distinct hashes."""
     small, large = sorted((len(left), len(right)))
-    if 100 * small < PERCENT * large or not small:
+    if 100 * small < percent * large or not small:
         return False
     both = np.concatenate([left, right])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (small + large - common)
+    return 100 * common >= percent * (small + large - common)
 
 
 def node_id() -> Column:
@@ -106,7 +121,7 @@ def node_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), RESERVED - 1 - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, like: Likeness = LIKE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest`` of the set, its ``bands`` (null for an empty set) and ``id``, see ``node_id``."""
 
     def step(batches):
@@ -114,10 +129,10 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, digests, bands = [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(text, memo)
+                found = shingles(text, memo, like.shingle)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                bands.append(band_keys(signature(found)) if len(found) else None)
+                bands.append(band_keys(signature(found, like.hashes), like.bands) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)],
                 ["doc_id", "n_shingles", "digest", "bands", "id"],
@@ -127,7 +142,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_batches(rows, step, "doc_id long, n_shingles long, digest binary, bands array<long>, id long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, like: Likeness = LIKE) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
 
     def step(batches):
@@ -137,8 +152,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good, last, found = [], None, None
             for x, y in zip(left, right):
                 if x != last:
-                    last, found = x, shingles(x, memo)
-                good.append(similar(found, shingles(y, memo)))
+                    last, found = x, shingles(x, memo, like.shingle)
+                good.append(similar(found, shingles(y, memo, like.shingle), like.percent))
             rows = [i for i, linked in enumerate(good) if linked]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in rows], pa.int64()), pa.array([b[i] for i in rows], pa.int64())], ["a", "b"])
 
@@ -147,14 +162,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(met.select("a", "b", "left", "right"), step, "a long, b long")
 
 
-def tile_links(tiles: DataFrame) -> DataFrame:
+def tile_links(tiles: DataFrame, like: Likeness = LIKE) -> DataFrame:
     """Links between different components among the rows of each tile."""
 
     def compare(table):
         memo = word_memo()
         rows = table.to_pylist()
         key, i, j = rows[0]["key"], rows[0]["i"], rows[0]["j"]
-        sets = [shingles(row["text"], memo) for row in rows]
+        sets = [shingles(row["text"], memo, like.shingle) for row in rows]
         bands = np.array([row["bands"] for row in rows], np.int64)
         band = int(np.flatnonzero(bands[0] == key)[0])
         root = {row["component"]: row["component"] for row in rows}
@@ -171,7 +186,7 @@ def tile_links(tiles: DataFrame) -> DataFrame:
                 across = i == j or rows[x]["block"] != rows[y]["block"]
                 if across and not earlier[y]:
                     left, right = find(rows[x]["component"]), find(rows[y]["component"])
-                    if left != right and similar(sets[x], sets[y]):
+                    if left != right and similar(sets[x], sets[y], like.percent):
                         root[max(left, right)] = min(left, right)
                         a.append(rows[x]["component"])
                         b.append(rows[y]["component"])
@@ -180,10 +195,10 @@ def tile_links(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Likeness = LIKE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row."""
     scope = Scope()
-    signed = scope.staged(signatures(docs), "signatures")
+    signed = scope.staged(signatures(docs, like), "signatures")
     full = signed.filter(F.col("digest").isNotNull())
     node = F.coalesce(F.min("doc_id"), F.min("id"))
     classes = full.groupBy("digest").agg(node.alias("node"), F.min("doc_id").alias("name"), F.min_by("bands", "id").alias("bands"))
@@ -201,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Rows without an id have the same node if they have the same text; one of them is enough.
     likely = likely.filter("named").unionByName(likely.filter("not named").dropDuplicates(["node"])).drop("named")
     texts = scope.staged(likely.join(asked.hint("merge"), "node"), "candidates")
-    links = scope.staged(confirmed(pairs, texts), "confirmed")
+    links = scope.staged(confirmed(pairs, texts, like), "confirmed")
     # Different sets under one id are one document.
     of_class = full.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
     of_class = of_class.groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
@@ -223,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tiles = labelled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
     tiles = tiles.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     tiles = tiles.join(classes.select("node", "bands"), "node").join(texts, "node")
-    more = scope.staged(tile_links(tiles), "tile-links")
+    more = scope.staged(tile_links(tiles, like), "tile-links")
     joined = components(more, scope).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = found.unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("component")).unionByName(more.select(F.col("b").alias("node"), F.col("b").alias("component"))))
     final = final.distinct().join(joined, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))

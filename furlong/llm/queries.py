@@ -50,7 +50,7 @@ def op3_language_id(spark, folder):
 
 @query
 def op4_near_dedup(spark, folder):
-    return near_dedup.near_duplicates(read(spark, folder, "documents"))
+    return near_dedup.near_duplicates(read(spark, folder, "documents"), near_dedup.LIKE)
 
 
 @query
@@ -72,8 +72,8 @@ def op7_html_extraction(spark, folder):
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+def digests(docs: DataFrame, path: str, **tables: int) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, **tables), path)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -9,12 +9,12 @@ from furlong.llm import near_dedup
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows):
+def brute(rows, shingle=3, percent=85):
     def shingles(text):
         words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        if len(words) < 3:
+        if len(words) < shingle:
             return frozenset([tuple(words)]) if words else frozenset()
-        return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        return frozenset(tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1))
 
     sets = [shingles(text) for _, text in rows]
     root = list(range(len(rows)))
@@ -27,7 +27,7 @@ def brute(rows):
     for x in range(len(rows)):
         for y in range(x):
             both = len(sets[x] & sets[y])
-            linked = sets[x] and sets[y] and 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both)
+            linked = sets[x] and sets[y] and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
             if linked or rows[x][0] == rows[y][0]:
                 root[find(x)] = find(y)
     groups = {}
@@ -50,13 +50,13 @@ def corpus(seed):
     return rows + [(200, None), (201, ""), (202, " \n"), (203, "one two"), (204, "One  two"), (205, "one")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(documents, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "like"), [(1, near_dedup.LIKE), (2, near_dedup.LIKE), (3, near_dedup.Likeness(5, 80, 96, 38))])
+def test_equals_brute_force(documents, monkeypatch, seed, like):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)  # several tiles even here
     rows = corpus(seed)
-    found = near_dedup.near_duplicates(documents(rows)).collect()
+    found = near_dedup.near_duplicates(documents(rows), like).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(
-        (key, n, component if n else key) for key, n, component in brute(rows)
+        (key, n, component if n else key) for key, n, component in brute(rows, like.shingle, like.percent)
     )
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
