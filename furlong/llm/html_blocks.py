@@ -6,19 +6,27 @@ of the page if nothing ends them. ``noscript``, ``template`` and ``iframe`` are
 left out up to their end tag, if there is one; ``svg`` and ``select`` also end
 before a block-level tag. ``math`` and ``object`` are read like inline tags. Block-level tags end a block; inline tags and ``br`` do not. Tags that HTML
 closes by itself (``p``, ``li``, table cells ...) are closed here too, and end
-tags without a start are ignored, so broken pages give blocks as well.
+tags without a start are ignored, so broken pages give blocks as well. A page
+that is cut off inside a tag loses that tag.
+
+Time and memory are linear in the page: a quote that has no partner counts as a
+plain character, nothing is tried twice, and paths share their upper parts.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+# What follows a tag's name. Quantifiers never give back what they took, so a tag is read in one go.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    rf"|<(?P<raw>script|style|textarea|title)\b{_INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>{_INSIDE})>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -45,7 +53,7 @@ CLOSES = {
 # Start and end tags of a name that is left out, and what else ends it.
 _TAGS = {
     name: re.compile(
-        rf"<(?P<end>/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>" + (rf"|(?P<block></?(?:{'|'.join(BLOCKS - {'hr'})})(?=[\s/>]))" if name in FOREIGN else ""),
+        rf"<(?P<end>/?){name}(?=[\s/>]){_INSIDE}>" + (rf"|(?P<block></?(?:{'|'.join(BLOCKS - {'hr'})})(?=[\s/>]))" if name in FOREIGN else ""),
         re.I,
     )
     for name in HIDDEN | FOREIGN
@@ -67,62 +75,97 @@ def _left_out(page: str, name: str, at: int) -> int:
     return last
 
 
-class Node(NamedTuple):
-    name: str
-    tokens: tuple[str, ...]  # parts of class, id and role
+class Node:
+    """A tag and, through ``above``, the tags around it; iterates from the outermost tag to this one."""
+
+    __slots__ = ("name", "tokens", "above")
+
+    def __init__(self, name: str, tokens: tuple[str, ...], above: Node | None):
+        self.name, self.tokens, self.above = name, tokens, above  # tokens: parts of class, id and role
+
+    def __iter__(self) -> Iterator[Node]:
+        found, node = [], self
+        while node.above is not None:
+            found.append(node)
+            node = node.above
+        return reversed(found)
+
+
+# Stands above all tags and is none itself.
+OUTSIDE = Node("", (), None)
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[Node, ...]
+    path: Node
     linked: int  # characters inside links
 
 
-def _node(name: str, attributes: str) -> Node:
+class _Open:
+    """The open tags, and where those of each name stand."""
+
+    def __init__(self) -> None:
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+
+    def push(self, name: str, attributes: str) -> None:
+        self.places[name].append(len(self.stack))
+        self.stack.append(Node(name, _tokens(attributes), self.top()))
+
+    def top(self) -> Node:
+        return self.stack[-1] if self.stack else OUTSIDE
+
+    def close(self, names: Iterable[str], stops: Iterable[str] = ()) -> None:
+        """Closes down to the innermost tag of these names, unless a stop stands in between."""
+        at = self.last(names)
+        if at < 0 or self.last(stops) > at:
+            return
+        for node in self.stack[at:]:
+            self.places[node.name].pop()
+        del self.stack[at:]
+
+
+def _tokens(attributes: str) -> tuple[str, ...]:
     tokens = []
     if "=" in attributes:
         for found in _ATTRIBUTE.finditer(attributes):
             tokens += [part.lower() for part in _PARTS.findall(found[2] or found[3] or found[4] or "")]
-    return Node(name, tuple(tokens))
+    return tuple(tokens)
 
 
 def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
-    stack: list[Node] = []
+    opened = _Open()
     pieces: list[str] = []
-    path: tuple[Node, ...] = ()
+    path = OUTSIDE
     linked = links = 0
-
-    def close(names, stops) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].name in names:
-                del stack[depth:]
-                return
-            if stack[depth].name in stops:
-                return
+    filled = False  # whether the pieces hold more than white space
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, filled
         text = " ".join("".join(pieces).split())
         if text:
             found.append(Block(text, path, linked))
         pieces.clear()
-        linked = 0
+        linked, filled = 0, False
 
     def add(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, filled
         text = html.unescape(raw) if "&" in raw else raw
-        if not pieces or not path:
-            path = tuple(stack)
+        if not pieces or path is OUTSIDE:
+            path = opened.top()
         if text.strip():
-            if not "".join(pieces).strip():
-                path = tuple(stack)
+            if not filled:
+                path, filled = opened.top(), True
             if links:
                 linked += len(text.strip())
         pieces.append(text)
 
-    at = 0
-    page = page or ""
+    at, size = 0, len(page or "")
+    page = (page or "") + ">"  # ends a tag that the page is cut off in
     open_ended = set()
     while token := _TOKEN.search(page, at):
         if token.start() > at:
@@ -146,17 +189,16 @@ def blocks(page: str | None) -> list[Block]:
             if pieces:
                 pieces.append(" ")
         if token["end"]:
-            if any(node.name == name for node in stack):
-                close({name}, ())
+            opened.close((name,))
         elif name not in VOID:
             if name in CLOSES:
-                close(*CLOSES[name])
+                opened.close(*CLOSES[name])
             elif name in BLOCKS:
-                close({"p"}, {"div", "td", "th", "li", "article", "section", "blockquote", "button"})
+                opened.close(("p",), ("div", "td", "th", "li", "article", "section", "blockquote", "button"))
             if not token["attrs"].endswith("/"):
-                stack.append(_node(name, token["attrs"]))
-        links = sum(node.name == "a" for node in stack) if name == "a" or name in BLOCKS else links
-    if at < len(page):
-        add(page[at:])
+                opened.push(name, token["attrs"])
+        links = len(opened.places["a"]) if name == "a" or name in BLOCKS else links
+    if at < size:
+        add(page[at:size])
     flush()
     return found

@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-from furlong.llm.html_blocks import Block, Node
+from furlong.llm.html_blocks import OUTSIDE, Block, Node
 
 TAGS, WORDS, SIZES = 4096, 2048, 8
 INPUTS = TAGS + WORDS + SIZES
@@ -33,19 +33,43 @@ def _place(token: str, size: int) -> int:
 
 
 @functools.lru_cache(maxsize=20_000)
-def path_features(path: tuple[Node, ...]) -> tuple[int, ...]:
-    names = [node.name for node in path if node.name not in ("html", "body")]
-    tokens = [f"t:{name}" for name in names] + [f"p:{a}>{b}" for a, b in zip(["top", *names], names)]
-    tokens += [f"c:{token}" for node in path for token in node.tokens]
-    tokens.append(f"l:{names[-1] if names else 'top'}")
-    return tuple(sorted({_place(token, TAGS) for token in tokens}))
+def _below(above: frozenset[int], last: str, name: str, tokens: tuple[str, ...]) -> tuple[frozenset[int], str]:
+    """Features of a path that goes one tag further, and its last name; shared with the path above where it adds nothing."""
+    own = {_place(f"c:{token}", TAGS) for token in tokens}
+    if name not in ("html", "body"):
+        own |= {_place(f"t:{name}", TAGS), _place(f"p:{last}>{name}", TAGS)}
+        last = name
+    return (above if own <= above else above | own), last
+
+
+@functools.lru_cache(maxsize=20_000)
+def _sorted(found: frozenset[int], last: str) -> tuple[int, ...]:
+    return tuple(sorted(found | {_place(f"l:{last}", TAGS)}))
+
+
+class Paths:
+    """Features of the paths of one page, each made from the path above it."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, tuple[frozenset[int], str]] = {id(OUTSIDE): (frozenset(), "top")}
+
+    def features(self, path: Node) -> tuple[int, ...]:
+        asked = []
+        while id(path) not in self.known:
+            asked.append(path)
+            path = path.above
+        found = self.known[id(path)]
+        for node in reversed(asked):
+            found = self.known[id(node)] = _below(*found, node.name, node.tokens)
+        return _sorted(*found)
 
 
 def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features of a page's blocks: block, feature, value."""
     owner, feature, value = [], [], []
+    paths = Paths()
     for number, block in enumerate(page):
-        tags = path_features(block.path)
+        tags = paths.features(block.path)
         found = {_place(word, WORDS) for word in _WORD.findall(block.text.lower())}
         size = len(block.text)
         measures = (

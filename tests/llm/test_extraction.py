@@ -1,3 +1,6 @@
+import math
+import time
+
 from furlong.llm import extraction, html_model
 from furlong.llm.html_blocks import blocks
 
@@ -60,3 +63,63 @@ def test_what_is_left_out_ends():
     assert [node.name for node in blocks("<article><object data=x><p>Fallback.</p></object></article>")[0].path] == ["article", "object", "p"]
     assert texts("<p>a<select><option>no</select>b<noscript><p>no</p></noscript><iframe>no</iframe><template><p>no</template>c") == ["abc"]
     assert texts("<script>var a='<p>x</p>'") == texts("<style><p>x") == texts("<textarea><p>x") == []
+
+
+def seconds(page):
+    started = time.perf_counter()
+    found = blocks(page)
+    if found:
+        html_model.features(found)
+    return found, time.perf_counter() - started
+
+
+def test_hostile_pages_take_linear_time():
+    """Quotes without an end, tags inside one paragraph, blocks that are never closed: a megabyte or more each."""
+    found, took = seconds("<p>Text.</p><a title=" + "\"'" * 500_000)
+    assert [block.text for block in found] == ["Text."] and took < 5
+    found, took = seconds("<p>" + "<a \"" * 200_000 + "x")
+    assert took < 5
+    found, took = seconds("<p>" + "a<b>b</b> " * 200_000 + "</p>")
+    assert len(found) == 1 and len(found[0].text) == 599_999 and took < 5
+    found, took = seconds("<div>x" * 100_000)
+    assert len(found) == 100_000 and took < 5
+    assert len(list(found[-1].path)) == 100_000
+    found, took = seconds("<table><tr><p><td>" + "<b>" * 50_000 + "<h1>x</h1>" * 50_000)
+    assert len(found) == 50_000 and took < 5
+    _, took = seconds("<svg " * 100_000 + "<template>" * 100_000 + "<iframe " * 100_000)
+    assert took < 5
+
+
+def test_pages_cut_off_inside_a_tag():
+    assert texts("<p>a</p><div class=\"x") == texts("<p>a</p><div class='x' id=") == ["a"]
+    assert texts("<p>a</p><script>var x = 1") == texts("<p>a</p><!-- b --") == ["a"]
+    assert texts("<p>a b") == ["a b"] and texts("plain > text") == ["plain > text"]
+
+
+def plain_lstm(inputs, recurrent):
+    """One direction, cell by cell, with plain numbers."""
+    size = len(recurrent)
+    h, c, out = [0.0] * size, [0.0] * size, []
+    for row in inputs:
+        z = [row[j] + sum(h[i] * recurrent[i][j] for i in range(size)) for j in range(4 * size)]
+        gates = [1 / (1 + math.exp(-value)) for value in z[: 3 * size]]
+        c = [gates[size + k] * c[k] + gates[k] * math.tanh(z[3 * size + k]) for k in range(size)]
+        h = [gates[2 * size + k] * math.tanh(c[k]) for k in range(size)]
+        out.append(h)
+    return out
+
+
+def test_labels_are_those_of_a_plain_loop():
+    model = html_model.Labeller(seed=11)
+    parts = {name: value.tolist() for name, value in model.parts.items()}
+    width = 4 * html_model.HIDDEN
+    pages = [blocks(html_model.practice(seed)[0])[:12] for seed in (92_000, 92_001)]
+    for page, found in zip(pages, model.label(pages)):
+        rows = [[0.0] * (2 * width + 1) for _ in page]
+        for owner, feature, value in zip(*(part.tolist() for part in html_model.features(page))):
+            rows[owner] = [a + value * b for a, b in zip(rows[owner], parts["in"][feature])]
+        forward = plain_lstm([row[:width] for row in rows], parts["forward"])
+        backward = plain_lstm([row[width : 2 * width] for row in rows[::-1]], parts["backward"])[::-1]
+        for row, ahead, back, p in zip(rows, forward, backward, found):
+            score = sum(a * b for a, b in zip(ahead + back, parts["out"])) + row[-1]
+            assert abs(1 / (1 + math.exp(-score)) - p) < 1e-4
