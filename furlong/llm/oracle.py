@@ -209,11 +209,88 @@ select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as fol
 """
 
 
+# Longer rules first.
+_URL_RULES = (
+    ("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("com", "/", "allow"),
+)
+
+
+def _first_rule(value: str) -> str:
+    found = " ".join(
+        f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{host + path if value == 'rule' else verdict}'"
+        for host, path, verdict in _URL_RULES
+    )
+    return f"case {found} end"
+
+
+def _crc_of_hex(text: str) -> str:
+    """CRC-32 of the bytes that a text of hex digits spells."""
+    digit = "(instr('0123456789ABCDEF', substr({0}, {1}, 1)) - 1)"
+    byte = f"(16 * {digit.format(text, '(2 * i + 1)::int')} + {digit.format(text, '(2 * i + 2)::int')})::bigint"
+    return f"""xor(4294967295, list_reduce(
+  list_prepend(4294967295::bigint, flatten(list_transform(range(0, length({text}) // 2), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, b: case when b >= 0 then xor(crc, b) when crc % 2 = 1 then xor(crc >> 1, 3988292384) else crc >> 1 end))"""
+
+
+def _url_filter(order: int = 5) -> str:
+    """Witten-Bell models by tables of n-grams in hex, for all counts and without either fold."""
+    levels = []
+    for k in range(1, order + 2):
+        below = f"join p_{k - 1} b on b.m = l.m and b.s = l.s and b.g = right(l.g, {2 * k - 2})" if k > 1 else ""
+        base = "b.p" if k > 1 else "(1.0::double / 256)"
+        levels.append(f"""
+l_{k} as (select m, s, right(g, {2 * k}) as g, sum(n)::bigint as n from counts group by m, s, right(g, {2 * k})),
+c_{k} as (select m, s, left(g, {2 * k - 2}) as c, sum(n)::bigint as n, count(*) filter (n > 0) as t from l_{k} group by all),
+p_{k} as materialized (
+  select l.m, l.s, l.g, case when c.n > 0 then (l.n + c.t * {base}) / (c.n + c.t) else {base} end as p
+  from l_{k} l join c_{k} c on c.m = l.m and c.s = l.s and c.c = left(l.g, {2 * k - 2}) {below})""")
+    top = order + 1
+    return f"""
+with raw as (
+  select row_number() over () as r, page_id, hex(encode(coalesce(url, ''))) as bytes,
+    case when contains(coalesce(url, ''), '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from raw),
+urls as materialized (
+  select *, {_first_rule('rule')} as rule, {_first_rule('verdict')} as ruled, {_crc_of_hex('bytes')} % 2 as fold from parts),
+grams as materialized (
+  select r, ruled, fold, substr(repeat('00', {order}) || bytes || '01', (2 * i + 1)::int, {2 * top}) as g
+  from (select *, unnest(range(0, length(bytes) // 2 + 1)) as i from urls)),
+seen as (
+  select g, s, count(*) filter (ruled = v) as n, count(*) filter (ruled = v and fold = 0) as n_0
+  from grams, (values ('yes', 'allow'), ('no', 'block')) x(s, v) group by g, s),
+counts as materialized (
+  select 'whole' as m, s, g, n from seen union all select 'fold_0', s, g, n - n_0 from seen union all select 'fold_1', s, g, n_0 from seen),
+{",".join(levels)},
+ratios as (
+  select m, g, floor((ln(max(p) filter (s = 'yes')) - ln(max(p) filter (s = 'no'))) * 1000000 + 0.5)::bigint as score from p_{top} group by m, g),
+scored as materialized (
+  select x.r, floor(sum(score)::double / (count(*) * 1000))::bigint as score
+  from grams x join ratios q on q.g = x.g and q.m = case when x.ruled is null then 'whole' else 'fold_' || x.fold end group by x.r),
+judged as materialized (select u.*, greatest(-20000, least(20000, score)) as spot from urls u join scored using (r)),
+bins as (
+  select spot, count(*) filter (ruled = 'allow') as yes, count(*) filter (ruled = 'block') as no from judged where ruled is not null group by spot),
+cuts as (
+  select greatest(coalesce(lag(spot) over (order by spot) + 1, -20000), least(spot, 0)) as least,
+    (sum(no) over ())::double * (sum(yes) over () - coalesce(sum(yes) over before, 0))
+      + (sum(yes) over ())::double * coalesce(sum(no) over before, 0) as right_ones,
+    sum(yes) over () as all_yes, sum(no) over () as all_no
+  from bins window before as (order by spot rows between unbounded preceding and 1 preceding)),
+chosen as (select first(least order by right_ones desc, abs(least), least) filter (all_yes > 0 and all_no > 0) as least, max(all_no) as no, max(all_yes) as yes from cuts)
+select page_id, host, path, rule,
+  coalesce(ruled, case when c.least is not null then case when spot >= c.least then 'allow' else 'block' end
+                       when coalesce(c.no, 0) > 0 and coalesce(c.yes, 0) = 0 then 'block' else 'allow' end) as verdict
+from judged, chosen c
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY,
     "op2_chat_format": CHAT,
     "op5_substring_dedup": SUBSTRINGS,
     "op6_source_mixing": MIXING,
     "op10_exact_top_k": TOP_K,
+    "op11_url_filter": _url_filter(),
     "op12_merkle_manifest": _merkle(),
 }
