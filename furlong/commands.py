@@ -28,12 +28,17 @@ def instant(text: str) -> datetime:
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="furlong", description=__doc__)
     commands = out.add_subparsers(dest="command", required=True)
-    for name in ("import", "features", "predictions", "evaluations"):
+    for name in ("import", "features", "predictions", "evaluations", "clean"):
         one = commands.add_parser(name)
         one.add_argument("--store", required=True, help="root folder of the tables")
+        if name == "clean":
+            one.add_argument("--before", type=instant, required=True, help="what was replaced before this instant goes")
+            continue
         one.add_argument("--dry-run", action="store_true")
         if name == "import":
             one.add_argument("--source-dir", required=True, help="folder of the CSV files")
+            one.add_argument("--partial", action="store_true", help="leave out faulty rows and what refers to them")
+            one.add_argument("--skip-older", action="store_true", help="leave stored rows alone that were observed later")
         if name in ("features", "predictions"):
             one.add_argument("--as-of-at", type=instant, help="an instant with an offset; now by default")
         if name == "predictions":
@@ -45,9 +50,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(arguments: argparse.Namespace, spark: SparkSession) -> dict[str, int]:
-    store, now, dry = Store(spark, arguments.store), datetime.now(timezone.utc), arguments.dry_run
+    store, now = Store(spark, arguments.store), datetime.now(timezone.utc)
+    if arguments.command == "clean":
+        return {"deleted": len(store.clean(arguments.before))}
+    dry = arguments.dry_run
     if arguments.command == "import":
-        return jobs.import_bundle(store, arguments.source_dir, now, dry_run=dry)
+        return jobs.import_bundle(
+            store, arguments.source_dir, now, dry_run=dry, partial=arguments.partial, skip_older=arguments.skip_older
+        )
     if arguments.command == "features":
         return jobs.generate_features(store, arguments.as_of_at or now, now, dry_run=dry)
     if arguments.command == "predictions":

@@ -314,6 +314,8 @@ def test_commands(spark, store, tmp_path, capsys):
     root = str(tmp_path / "tables")
     assert commands.main(["import", "--store", root, "--source-dir", bundle(tmp_path, "good"), "--dry-run"]) == 0
     assert json.loads(capsys.readouterr().out)["valid"] == 14
+    assert commands.main(["clean", "--store", root, "--before", "2026-06-19T00:00:00+00:00"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"command": "clean", "deleted": 0}
     assert commands.main(["import", "--store", root, "--source-dir", str(tmp_path / "absent")]) == 1
     assert capsys.readouterr().err
     assert commands.main(["predictions", "--store", root, "--model-version", "none", "--as-of-at", "2026-06-19T00:00:00+00:00"]) == 1
