@@ -109,7 +109,11 @@ class _Open:
         self.places: dict[str, list[int]] = defaultdict(list)
 
     def last(self, names: Iterable[str]) -> int:
-        return max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+        last, places = -1, self.places
+        for name in names:
+            if (found := places.get(name)) and found[-1] > last:
+                last = found[-1]
+        return last
 
     def push(self, name: str, attributes: str) -> None:
         self.places[name].append(len(self.stack))
@@ -146,9 +150,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked, filled
-        text = " ".join("".join(pieces).split())
-        if text:
-            found.append(Block(text, path, linked))
+        if filled:
+            found.append(Block(" ".join("".join(pieces).split()), path, linked))
         pieces.clear()
         linked, filled = 0, False
 

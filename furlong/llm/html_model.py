@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 
+from furlong.llm.common import Bounded
 from furlong.llm.html_blocks import OUTSIDE, Block, Node
 
 TAGS, WORDS, SIZES = 4096, 2048, 8
@@ -64,29 +65,49 @@ class Paths:
         return _sorted(*found)
 
 
+# Where a block's features lie: words behind the tags, measures behind the words.
+_word_places = Bounded(lambda word: TAGS + zlib.crc32(word.encode()) % WORDS, 100_000)
+_MEASURES = range(TAGS + WORDS, INPUTS)
+
+
 def features(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features of a page's blocks: block, feature, value."""
-    owner, feature, value = [], [], []
-    paths = Paths()
-    for number, block in enumerate(page):
-        tags = paths.features(block.path)
-        found = {_place(word, WORDS) for word in _WORD.findall(block.text.lower())}
-        size = len(block.text)
-        measures = (
-            1.0,
+    feature: list[int] = []
+    tagged, worded, sizes, linked, ended, stops = [], [], [], [], [], []
+    paths, place = Paths(), _word_places.__getitem__
+    for text, path, inside in page:
+        tags = paths.features(path)
+        found = set(map(place, _WORD.findall(text.lower())))
+        feature += tags
+        feature += found
+        feature += _MEASURES
+        tagged.append(len(tags))
+        worded.append(len(found))
+        sizes.append(len(text))
+        linked.append(inside)
+        ended.append(text[-1] in ".!?:;\"”»")
+        stops.append(text.count(",") + text.count("."))
+    count = len(page)
+    words, size, number = np.array(worded), np.array(sizes), np.arange(count)
+    measures = np.stack(
+        [
+            np.ones(count),
             np.log1p(size) / 5,
-            min(1.0, block.linked / size),
-            float(block.text[-1] in ".!?:;\"”»"),
-            min(4, block.text.count(",") + block.text.count(".")) / 4,
-            float(number == 0),
-            float(number == len(page) - 1),
-            min(1.0, len(found) / 12),
-        )
-        weight = 1.0 / max(1.0, len(found)) ** 0.5
-        owner += [number] * (len(tags) + len(found) + SIZES)
-        feature += [*tags, *(TAGS + word for word in found), *range(TAGS + WORDS, INPUTS)]
-        value += [1.0] * len(tags) + [weight] * len(found) + list(measures)
-    return np.array(owner, np.int64), np.array(feature, np.int64), np.array(value, np.float32)
+            np.minimum(1.0, np.array(linked) / size),
+            np.array(ended, float),
+            np.minimum(4, np.array(stops)) / 4,
+            number == 0,
+            number == count - 1,
+            np.minimum(1.0, words / 12),
+        ],
+        1,
+    )
+    parts = np.stack([np.array(tagged), words, np.full(count, SIZES)], 1)
+    weights = np.stack([np.ones(count), 1.0 / np.maximum(1.0, words) ** 0.5, np.zeros(count)], 1)
+    value = np.repeat(weights.ravel(), parts.ravel()).astype(np.float32)
+    ends = parts.sum(1).cumsum()
+    value[ends[:, None] - SIZES + np.arange(SIZES)] = measures
+    return np.repeat(number, parts.sum(1)), np.array(feature, np.int64), value
 
 
 def _sigmoid(x):

@@ -1,8 +1,13 @@
 import math
+import re
 import time
+import zlib
+
+import numpy as np
 
 from furlong.llm import extraction, html_model
 from furlong.llm.html_blocks import blocks
+from furlong.llm.html_model import INPUTS, SIZES, TAGS, WORDS, Paths, features, practice
 
 
 def texts(page):
@@ -123,3 +128,38 @@ def test_labels_are_those_of_a_plain_loop():
         for row, ahead, back, p in zip(rows, forward, backward, found):
             score = sum(a * b for a, b in zip(ahead + back, parts["out"])) + row[-1]
             assert abs(1 / (1 + math.exp(-score)) - p) < 1e-4
+
+
+def plain_features(page):
+    """One number after the other."""
+    owner, feature, value = [], [], []
+    paths = Paths()
+    for number, block in enumerate(page):
+        tags = paths.features(block.path)
+        found = {zlib.crc32(word.encode()) % WORDS for word in re.findall(r"\w+", block.text.lower())}
+        size = len(block.text)
+        measures = (
+            1.0, np.log1p(size) / 5, min(1.0, block.linked / size), float(block.text[-1] in ".!?:;\"”»"),
+            min(4, block.text.count(",") + block.text.count(".")) / 4, float(number == 0), float(number == len(page) - 1),
+            min(1.0, len(found) / 12),
+        )
+        weight = 1.0 / max(1.0, len(found)) ** 0.5
+        owner += [number] * (len(tags) + len(found) + SIZES)
+        feature += [*tags, *sorted(TAGS + word for word in found), *range(TAGS + WORDS, INPUTS)]
+        value += [1.0] * len(tags) + [weight] * len(found) + list(measures)
+    return np.array(owner, np.int64), np.array(feature, np.int64), np.array(value, np.float32)
+
+
+def test_features_are_the_plain_ones_in_less_time():
+    pages = [found for seed in range(300) if (found := blocks(practice(seed)[0]))]
+
+    def timed(make):
+        start = time.process_time()
+        made = [make(page) for page in pages]
+        return made, time.process_time() - start
+
+    for (owner, feature, value), (owner_, feature_, value_) in zip(timed(features)[0], timed(plain_features)[0]):
+        order, order_ = (np.lexsort((f, o)) for o, f in ((owner, feature), (owner_, feature_)))
+        assert (owner == owner_).all() and (feature[order] == feature_[order_]).all()
+        assert np.array_equal(value[order], value_[order_])
+    assert min(timed(features)[1] for _ in range(5)) < 0.8 * min(timed(plain_features)[1] for _ in range(5))
