@@ -109,6 +109,8 @@ def map_batches(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches):
         forget(keeps)
         yield from step(batches)
+        if not keeps:
+            hand_back()  # the worker may idle for long beside stages that need the memory
 
     return rows.mapInArrow(run, schema)
 
@@ -128,10 +130,15 @@ def forget(but: tuple[str, ...]) -> None:
         _remembered.pop(name)()
     if used or not but:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
-        if trim:
-            trim(0)
+        hand_back()
+
+
+def hand_back() -> None:
+    """Gives the system what was freed and is still held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
 
 
 class Bounded(dict):

@@ -1,9 +1,12 @@
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from furlong.llm import substring_dedup
+from furlong.llm.common import map_batches
 from furlong.llm.fm_index import FmIndex
 
 
@@ -84,3 +87,29 @@ def test_rows_of_documents(documents):
 
 def test_empty_table(documents):
     assert substring_dedup.remove_repeats(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def test_idle_workers_hold_little(spark):
+    def held():
+        with open("/proc/self/statm") as sizes:
+            return int(sizes.read().split()[1]) * 4096
+
+    def step(batches):
+        for _ in batches:
+            # Small objects beside lasting ones: freeing them alone leaves the heap as large as it was.
+            lasting, passing = [], []
+            for n in range(400_000):
+                (lasting if n % 64 == 0 else passing).append(np.full(64, n))
+            most = held()
+            del lasting, passing
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([most])], ["pid", "held"])
+
+    def asked(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held()])], ["pid", "held"])
+
+    one = spark.range(1).coalesce(1)
+    before = map_batches(one, step, "pid long, held long").collect()[0]
+    after = one.mapInArrow(asked, "pid long, held long").collect()[0]
+    assert before["pid"] == after["pid"]
+    assert after["held"] < before["held"] - (150 << 20)
