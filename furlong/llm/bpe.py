@@ -48,7 +48,11 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], moves: int | None = None):
         self.ranks = ranks
         self.most = MOVES if moves is None else moves
-        self.openings = {token[:n] for token in ranks for n in range(1, len(token))}
+        # What bytes can be, in one lookup: the opening of a longer token (1), a token (2), or both.
+        self.kinds = dict.fromkeys(ranks, 2)
+        for token in ranks:
+            for n in range(1, len(token)):
+                self.kinds[token[:n]] = self.kinds.get(token[:n], 0) | 1
         self.edges = Bounded(self._edges, len(ranks) + 1)
         self.fits = Bounded(self._fits, PAIRS)
         self._forget()
@@ -107,16 +111,20 @@ class Transducer:
                 if not left or self.fits[left, token]:
                     live = live | {end: (*before, token)}
                     break
-        live = {at: tokens for at, tokens in live.items() if at == end or seen[at:] in self.openings}
-        paths = list(live.values())
-        agreed = 0
-        while all(len(path) > agreed and path[agreed] == paths[0][agreed] for path in paths):
-            agreed += 1
-        out = paths[0][:agreed]
+        kinds = self.kinds
+        live = {at: tokens for at, tokens in live.items() if at == end or kinds.get(seen[at:], 0) & 1}
+        out, *others = live.values()
+        for path in others:
+            agreed, most = 0, min(len(out), len(path))
+            while agreed < most and out[agreed] == path[agreed]:
+                agreed += 1
+            out = out[:agreed]
+            if not out:
+                break
         if out:
             cut = sum(map(len, out))
             last, seen = out[-1], seen[cut:]
-            live = {at - cut: tokens[agreed:] for at, tokens in live.items()}
+            live = {at - cut: tokens[len(out) :] for at, tokens in live.items()}
         number = self.numbers.get((last, seen))
         if number is None:
             number = self.numbers[last, seen] = len(self.states)
@@ -134,16 +142,19 @@ class Transducer:
         raw, paths, known = seen + rest, list(live), len(seen)
         lasts = {at: tokens[-1] if tokens else last for at, tokens in live.items()}
         begins = array.array("l", bytes(8 * (len(raw) + 1)))
-        ranks, openings, fits, edges = self.ranks, self.openings, self.fits, self.edges
+        ranks, kind_of, fits, edges = self.ranks, self.kinds.get, self.fits, self.edges
         for end in range(known + 1, len(raw) + 1):
             following, found = [], False
             for at in paths:
                 token = raw[at:end]
-                if not found and token in ranks and edges[token][0]:
+                kind = kind_of(token)
+                if kind is None:
+                    continue
+                if kind & 2 and not found and edges[token][0]:
                     left = raw[begins[at] : at] if at > known else lasts[at]
                     if not left or fits[left, token]:
                         begins[end], found = at, True
-                if token in openings:
+                if kind & 1:
                     following.append(at)
             if found:
                 following.append(end)

@@ -87,3 +87,10 @@ def test_letters_without_a_break(both):
     assert bpe.decode_ids(found, path) == text
     head = ids(text[:20_000], path)
     assert head == library.encode_ordinary(text[:20_000]) and np.frombuffer(found, "<u4")[: len(head) - 20].tolist() == head[:-20]
+
+
+def test_one_lookup_tells_tokens_and_openings():
+    ranks = {bytes((i,)): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    kinds = bpe.Transducer(ranks).kinds
+    assert (kinds[b"a"], kinds[b"b"], kinds[b"ab"], kinds[b"abc"]) == (3, 2, 3, 2)
+    assert len(kinds) == 258 and b"bc" not in kinds
