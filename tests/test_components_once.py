@@ -45,3 +45,13 @@ def test_reasons_are_sorted_without_a_comparing_function(spark):
 def test_large_methods_are_left_to_single_operators(spark):
     use_utc(spark)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == METHOD_LIMIT
+
+
+def test_prediction_detail_lists_whole_components(spark, small):
+    rows = QUERIES["prediction_detail"](spark, small)
+    parts = F.transform(F.split("score_components", ";"), lambda item: F.size(F.split(item, r"\|")))
+    shapes = rows.filter("score_components <> ''").select(F.explode(parts).alias("n")).distinct().collect()
+    assert [row["n"] for row in shapes] == [6]
+    bases = {(row["model_version"], row["base_score"], row["disclaimer"]) for row in rows.select(
+        F.split_part("run_id", F.lit("@"), F.lit(1)).alias("model_version"), "base_score", "disclaimer").distinct().collect()}
+    assert bases == {(c.model_version, c.base, scoring.DISCLAIMER) for c in CONFIGS}
